@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from originlake.llm import bpe, pack, pii, quality_rules
+from originlake.llm import bpe, convnet, licenses, pack, pii, quality_rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,12 +29,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = convnet.score(docs, convnet.fit(docs, table(spark, sf_dir, "labels")))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= convnet.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_bpe, op6_quality_rules, op9_packing)}
+    return {f.__name__: f for f in (op1_pii, op3_bpe, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
