@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originlake.llm import bpe, convnet, licenses, pack, pii, quality_rules
+from originlake.llm import bpe, convnet, licenses, pack, pii, quality_rules, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,8 +49,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_bpe, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing)}
+    return {f.__name__: f for f in (op1_pii, op3_bpe, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
