@@ -33,7 +33,9 @@ PART = 20
 #: Rows of one part that a task sorts; beyond, they are dealt by single windows.
 HOT = 20_000
 #: Window starts that one suffix array covers, about.
-SORTED = 150_000
+SORTED = 50_000
+#: Bytes of text that one parse covers, about: its arrays take some 100 times as much.
+CHUNK = 1 << 18
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -48,7 +50,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases as key, content, doc, at (start, distance to the trigger, further windows); content 0: known repeat."""
     for b in batches:
         ids = b.column("_id").to_numpy()
-        for i, j, data, offsets in text_buffers(b.column("text")):
+        for i, j, data, offsets in text_buffers(b.column("text"), CHUNK):
             p = phrases(data, offsets)
             if not len(p["key"]):
                 continue
@@ -97,7 +99,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shared phrases of a text as parts: sub (hash of what all windows of the part have), doc, start, body."""
     for b in batches:
         ids, ats = b.column("_id").to_numpy(), b.column("ats")
-        for i, j, data, offsets in text_buffers(b.column("text")):
+        for i, j, data, offsets in text_buffers(b.column("text"), CHUNK):
             own = ats.slice(i, j - i)
             doc = np.repeat(np.arange(j - i), own.value_lengths().to_numpy())
             at = own.flatten().to_numpy()
