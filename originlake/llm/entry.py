@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originlake.llm import bpe, convnet, licenses, pack, pii, quality_rules, suffix_dedup
+from originlake.llm import bpe, convnet, jaccard, licenses, pack, pii, quality_rules, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -54,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_bpe, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_bpe, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
