@@ -8,10 +8,13 @@ each member flips its bit, bounds the overlap of two sets from above; pairs that
 survive the bound are decided by intersecting their sorted arrays.
 
 Rarity comes from a hashed count sketch of fixed size. Equal sets are one node.
-First each node is compared with one partner, the one it shares most tiles
-with; then components are taken, and only tiles in which more than one
-component remains are compared pair by pair. A tile that the sketch knows to be
-large is dealt in blocks, and its pairs of blocks are compared apart.
+Tiles that share a member form candidate groups; the texts of a group go to one
+task, once each, which runs the tiles in order of size and skips what is linked
+already, so a dense group costs no more than a sparse one. Groups with more
+shingles than a task should hold are not sent anywhere whole: there each node is
+first compared with the partner it shares most tiles with, components are taken,
+and only tiles in which more than one component remains are compared pair by
+pair, in blocks where the sketch knows them to be large.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SKETCH_BITS = 22
 SLICE = 1 << 16
 #: Documents of one block of a large tile, about; partners that one task compares with a copy of one document.
 BLOCK, FAN = 4096, 256
+#: Shingles of a candidate group, summed over its members, that one task may hold.
+LARGE = 8_000_000
 CHUNK = 1 << 18
 
 
@@ -143,6 +148,17 @@ class Sketch:
         return np.maximum(1, np.ceil(most / self.block)).astype(np.int64)
 
 
+def rarest(sketch: Sketch, v: np.ndarray) -> np.ndarray:
+    """The rarest quarter of a set, in the order that all sets share."""
+    n = len(v)
+    p = n - -(-NUM * n // DEN) + 1
+    rank = (sketch.levels(v).astype(np.uint64) << np.uint64(56)) | (v >> np.uint64(8))
+    if p >= n // 2:
+        return v[np.argsort(rank, kind="stable")[:p]]
+    near = np.flatnonzero(rank <= np.partition(rank, p)[p])
+    return v[near[np.argsort(rank[near], kind="stable")][:p]]
+
+
 def prefixes(sketch: Sketch):
     """Rows of the rarest hashes of each set: tok, block, blocks, doc, n, pos; equal sets of a chunk go once."""
 
@@ -160,14 +176,8 @@ def prefixes(sketch: Sketch):
                     if n == 0 or (mark := (n, int(v[0]), v.tobytes() if n < 4 else int(mix(v).sum(dtype=np.uint64)))) in seen:
                         continue
                     seen.add(mark)
-                    p = n - -(-NUM * n // DEN) + 1
-                    rank = (sketch.levels(v).astype(np.uint64) << np.uint64(56)) | (v >> np.uint64(8))
-                    if p < n // 2:
-                        near = np.flatnonzero(rank <= np.partition(rank, p)[p])
-                        near = near[np.argsort(rank[near], kind="stable")][:p]
-                    else:
-                        near = np.argsort(rank, kind="stable")[:p]
-                    toks.append(v[near])
+                    toks.append(rarest(sketch, v))
+                    p = len(toks[-1])
                     docs.append(np.full(p, ids[i + k]))
                     sizes.append(np.full(p, n))
                     places.append(np.arange(p))
@@ -296,6 +306,94 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
+def _wide(v: np.ndarray) -> np.ndarray:
+    """A bitmap of about eight bits for each member."""
+    bits = 64 << max(0, int(8 * len(v) - 1).bit_length() - 6)
+    odd = (np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def group_links(sketch: Sketch, docs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join a candidate group's members: enough for its components, and each of them exact."""
+    order = sorted(range(len(docs)), key=lambda k: (len(sets[k]), docs[k]))
+    docs, sets = [docs[k] for k in order], [sets[k] for k in order]
+    n = np.array([len(v) for v in sets])
+    heads = [rarest(sketch, v) for v in sets]
+    of = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    pos = np.concatenate([np.arange(len(h)) for h in heads])
+    tok = np.concatenate(heads)
+    line = np.argsort(tok, kind="stable")  # tiles, members in order of size
+    tok, of, pos = tok[line], of[line], pos[line]
+    first = np.searchsorted(tok, tok)
+    own = np.empty(len(line), np.int64)
+    own[line] = np.arange(len(line))
+    ends = np.cumsum([len(h) for h in heads])
+    bits = [_wide(v) for v in sets]
+    width = np.array([len(x) for x in bits])
+    rows = np.zeros(len(sets), np.int64)
+    mats = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        rows[at] = np.arange(len(at))
+        mats[w] = np.stack([bits[k] for k in at])
+    label = np.arange(len(sets))
+    links = []
+    for i in range(len(sets)):
+        mine = own[ends[i] - len(heads[i]) : ends[i]]
+        tiles = [(first[m], m) for m in mine.tolist() if first[m] < m]
+        if not tiles:
+            continue
+        cand = np.concatenate([of[a:b] for a, b in tiles])
+        most = np.concatenate([np.minimum(n[i] - pos[b], n[of[a:b]] - pos[a:b]) for a, b in tiles])
+        ok = (NUM * n[i] <= DEN * n[cand]) & (most >= least_overlap(n[i], n[cand]))
+        cand = np.unique(cand[ok])
+        diff = np.empty(len(cand), np.int64)
+        x = bits[i]
+        while len(cand):
+            same = width[cand] == len(x)
+            if same.any():
+                diff[same] = np.bitwise_count(mats[len(x)][rows[cand[same]]] ^ x).sum(1)
+            if len(x) == 1 or not (width[cand] < len(x)).any():
+                break
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        ok = (NUM + DEN) * diff <= n[i] + n[cand]
+        cand = cand[ok][np.argsort(diff[ok], kind="stable")]
+        while len(cand := cand[label[cand] != label[i]]):
+            k, cand = int(cand[0]), cand[1:]
+            at = np.minimum(np.searchsorted(sets[i], sets[k]), n[i] - 1)
+            both = int((sets[i][at] == sets[k]).sum())
+            if 100 * both >= 75 * (n[i] + n[k] - both):
+                links.append((docs[i], docs[k]))
+                label[label == label[i]] = label[k]
+    return links
+
+
+def grouped(sketch: Sketch):
+    """Texts sorted by candidate group to links; holds one group's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, docs, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            links = group_links(sketch, docs, sets) if len(docs) > 1 else []
+            cols = zip(*links, strict=True) if links else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+
+        for b in batches:
+            ids, groups = b.column("_id").to_pylist(), b.column("label").to_pylist()
+            for i, j, data, offsets in text_buffers(b.column("text"), CHUNK):
+                for k, v in zip(range(i, j), shingle_sets(data, offsets), strict=True):
+                    if groups[k] != group:
+                        yield close()
+                        group, docs, sets = groups[k], [], []
+                    if len(v) and not (docs and docs[-1] == ids[k] and np.array_equal(sets[-1], v)):
+                        docs.append(ids[k])
+                        sets.append(v)
+        yield close()
+
+    return run
+
+
 def _needed(ids: DataFrame, col: str):
     """A fixed-size filter of ids (as a Spark condition): lets all of them pass, and at small sizes few others."""
     bits = 20
@@ -339,7 +437,41 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def _large_links(plain: DataFrame, member: DataFrame, shared: DataFrame, stars: DataFrame, rep_of: DataFrame, large: DataFrame) -> DataFrame:
+    """Links within candidate groups too large for a task."""
+    best = stars.join(large, F.col("doc") == F.col("node")).groupBy("doc").agg(F.max(F.struct("k", "center"))["center"].alias("b"))
+    links = cut(verified(plain, cut(best.select(F.col("doc").alias("a"), "b"))))
+    labels = components(links)
+    node = cut(
+        _as_reps(shared.select("tok", "block", "doc", "at").distinct(), rep_of, "doc").distinct()
+        .join(large, F.col("doc") == F.col("node"), "left_semi")
+        .join(labels, F.col("doc") == F.col("node"), "left")
+        .select("tok", "block", "doc", "at", F.coalesce("label", "doc").alias("label"))
+    )
+    mixed = cut(node.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("tok"))
+    some = node.join(mixed, "tok", "left_semi")
+    bits = member.where("doc = rep").select("doc", "bits").dropDuplicates(["doc"])
+    blocks = F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    own = F.shiftright("block", 32).cast("int")
+    dealt = (
+        some.join(bits, "doc")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            F.xxhash64("tok", F.least(own, F.col("other")), F.greatest(own, F.col("other"))).alias("tile"),
+            F.when(own == F.col("other"), 0).when(own < F.col("other"), 1).otherwise(2).cast("bigint").alias("side"),
+            "doc", "at", "label", "bits",
+        )
+    )
+    more = cut(
+        dealt.repartition("tile").sortWithinPartitions("tile", F.shiftright("at", 32), "doc")
+        .mapInArrow(_cross, "a bigint, b bigint").distinct()
+    )
+    return cut(links.unionByName(verified(plain, more)))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, large: int = LARGE
+) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, its own included) of every row.
 
     Null and empty texts, and texts without words, have no shingles and link with
@@ -372,38 +504,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     shared = cut(tiles)
     rep_of = cut(member.where("doc <> rep").select("doc", "rep").distinct())
-    stars = shared.where("doc <> center").groupBy("doc", "center").agg(F.count(F.lit(1)).alias("k"))
-    stars = _as_reps(_as_reps(stars, rep_of, "doc"), rep_of, "center").where("doc <> center")
-    best = stars.groupBy("doc").agg(F.max(F.struct("k", "center"))["center"].alias("b"))
-    one = cut(best.select(F.col("doc").alias("a"), "b"))
-    links = cut(verified(plain, one).unionByName(edges))
-    labels = components(links)
-
-    node = cut(
-        _as_reps(shared.select("tok", "block", "doc", "at").distinct(), rep_of, "doc").distinct()
-        .join(labels, F.col("doc") == F.col("node"), "left")
-        .select("tok", "block", "doc", "at", F.coalesce("label", "doc").alias("label"))
-    )
-    mixed = cut(node.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("tok"))
-    some = node.join(mixed, "tok", "left_semi")
-    bits = member.where("doc = rep").select("doc", "bits").dropDuplicates(["doc"])
     blocks = F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    own = F.shiftright("block", 32).cast("int")
-    dealt = (
-        some.join(bits, "doc")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            F.xxhash64("tok", F.least(own, F.col("other")), F.greatest(own, F.col("other"))).alias("tile"),
-            F.when(own == F.col("other"), 0).when(own < F.col("other"), 1).otherwise(2).cast("bigint").alias("side"),
-            "doc", "at", "label", "bits",
-        )
+    stars = _as_reps(_as_reps(shared.where("doc <> center").groupBy("doc", "center").agg(F.count(F.lit(1)).alias("k")), rep_of, "doc"), rep_of, "center")
+    stars = cut(stars.where("doc <> center"))
+    heads = shared.where(blocks > 1).groupBy("tok", "block").agg(F.min("doc").alias("a"))
+    over = cut(heads.groupBy("tok").agg(F.min("a").alias("b")))
+    across = _as_reps(_as_reps(heads.join(over, "tok").select("a", "b").distinct(), rep_of, "a"), rep_of, "b")
+    group = components(stars.select(F.col("doc").alias("a"), F.col("center").alias("b")).unionByName(across))
+    size = member.where("doc = rep").select(F.col("doc").alias("node"), "n").dropDuplicates(["node"])
+    sizes = cut(group.join(size, "node").groupBy("label").agg(F.sum("n").alias("n")).withColumn("large", F.col("n") > large).drop("n"))
+    group = cut(group.join(sizes, "label"))
+    small = group.where("not large").select(F.col("node").alias("_id"), "label")
+    links = cut(
+        _keep_needed(plain, _needed(small, "_id")).join(small, "_id").select("label", "_id", "text")
+        .repartition("label").sortWithinPartitions("label", "_id").mapInArrow(grouped(sketch), "a bigint, b bigint")
+        .unionByName(edges)
     )
-    more = cut(
-        dealt.repartition("tile").sortWithinPartitions("tile", F.shiftright("at", 32), "doc")
-        .mapInArrow(_cross, "a bigint, b bigint").distinct()
-    )
-    if more.limit(1).count():
-        labels = components(links.unionByName(verified(plain, more)))
+    if group.where("large").limit(1).count():
+        links = links.unionByName(_large_links(plain, member, shared, stars, rep_of, group.where("large").select("node")))
+    labels = components(links)
     out = member.select("doc", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     real = lambda c: F.when(c != F.lit(NO_ID), c)
     return out.select(

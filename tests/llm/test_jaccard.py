@@ -60,6 +60,7 @@ def test_components_against_all_pairs(spark, seed):
     got = sorted(tuple(r) for r in jaccard.near_duplicates(df).collect())
     want = brute(rows)
     assert got == want
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(df, large=300).collect()) == want
     assert len({c for _, _, c in want}) < len(rows) - 60
 
 
@@ -77,7 +78,7 @@ def test_blocks_and_copied_partners(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
     want = brute(rows)
     assert sorted(tuple(x) for x in jaccard.near_duplicates(df).collect()) == want
-    assert sorted(tuple(x) for x in jaccard.near_duplicates(df, block=8).collect()) == want
+    assert sorted(tuple(x) for x in jaccard.near_duplicates(df, block=8, large=900).collect()) == want
 
 
 def test_hot_tiles_in_blocks():
