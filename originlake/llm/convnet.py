@@ -199,3 +199,16 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str = "doc_id
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """Rows, with all their columns, whose text scores at least ``least``. Map-only."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in text_buffers(b.column(at), 1 << 18):
+                p = 1 / (1 + np.exp(-forward(weights, data, offsets).astype(np.float64)))
+                yield b.slice(i, j - i).filter(pa.array(p >= least))
+
+    return docs.mapInArrow(run, docs.schema)

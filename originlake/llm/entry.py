@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from originlake.llm import bpe, convnet, jaccard, licenses, pack, pii, quality_rules, suffix_dedup
+from originlake.llm import bpe, convnet, html_text, jaccard, licenses, pack, pii, quality_rules, suffix_dedup, topk
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk.top_k(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_bpe, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_bpe, op4_html_text, op5_topk, op6_quality_rules, op7_licenses, op8_quality_classifier, op9_packing, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -197,6 +197,8 @@ def prefixes(sketch: Sketch):
 def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted tiles to the rows of those with company, each with the tile's center for its size.
 
+    Rows whose hash stands too late in their order to be the first one in common go.
+
     The center is the first document, by size, that is not too small; one row of state.
     """
     held = None  # last tile's rows that may go on: the center's and the latest one
@@ -212,11 +214,21 @@ def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])
         tile = np.cumsum(new)
+        line = tile << 32
+        # the first row of the tile whose size is within the ratio: no partner asks for less overlap
+        smallest = n[np.searchsorted(line + n, line + -(-NUM * n // DEN))]
+        able = n - (at & 0xFFFFFFFF) >= least_overlap(n, smallest)
+        skip = 0
+        if held is not None:  # of the tile that goes on, rows between are gone: ask for the least there can be
+            skip = held[1]
+            able[tile == 1] = (n - (at & 0xFFFFFFFF) >= least_overlap(n, -(-NUM * n // DEN)))[tile == 1]
+            able[:skip] = True
+        tok, block, doc, at, tile, line, n = (x[able] for x in (tok, block, doc, at, tile, line, n))
+        cols = [tok, block, doc, at]
+        if not len(tok):
+            continue
         shared = np.bincount(tile)[tile] > 1
-        line = tile * (1 << 32) + n
-        # the first row of the tile whose size is within the ratio
-        center = np.searchsorted(line, tile * (1 << 32) + -(-NUM * n // DEN))
-        skip = 0 if held is None else held[1]
+        center = np.searchsorted(line + n, line + -(-NUM * n // DEN))
         out = np.flatnonzero(shared)
         out = out[(out >= skip) | ~np.isin(out, held[2])] if held is not None else out
         yield pa.RecordBatch.from_arrays(
@@ -442,9 +454,11 @@ def _large_links(plain: DataFrame, member: DataFrame, shared: DataFrame, stars:
     best = stars.join(large, F.col("doc") == F.col("node")).groupBy("doc").agg(F.max(F.struct("k", "center"))["center"].alias("b"))
     links = cut(verified(plain, cut(best.select(F.col("doc").alias("a"), "b"))))
     labels = components(links)
+    copies = rep_of.join(large, F.col("rep") == F.col("node")).select("doc")
+    asked = cut(large.select(F.col("node").alias("doc")).unionByName(copies).distinct())
+    own_rows = shared.select("tok", "block", "doc", "at").join(asked, "doc", "left_semi")
     node = cut(
-        _as_reps(shared.select("tok", "block", "doc", "at").distinct(), rep_of, "doc").distinct()
-        .join(large, F.col("doc") == F.col("node"), "left_semi")
+        _as_reps(own_rows, rep_of, "doc").distinct()
         .join(labels, F.col("doc") == F.col("node"), "left")
         .select("tok", "block", "doc", "at", F.coalesce("label", "doc").alias("label"))
     )
