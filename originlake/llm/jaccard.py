@@ -41,6 +41,8 @@ SLICE = 1 << 16
 BLOCK, FAN = 4096, 256
 #: Shingles of a candidate group, summed over its members, that one task may hold.
 LARGE = 8_000_000
+#: Members of candidate groups (16 bytes each) up to which they are broadcast to the texts; beyond, they are joined.
+BROADCAST_ROWS = 300_000
 CHUNK = 1 << 18
 
 
@@ -528,9 +530,10 @@ def near_duplicates(
     size = member.where("doc = rep").select(F.col("doc").alias("node"), "n").dropDuplicates(["node"])
     sizes = cut(group.join(size, "node").groupBy("label").agg(F.sum("n").alias("n")).withColumn("large", F.col("n") > large).drop("n"))
     group = cut(group.join(sizes, "label"))
-    small = group.where("not large").select(F.col("node").alias("_id"), "label")
+    small = cut(group.where("not large").select(F.col("node").alias("_id"), "label"))
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     links = cut(
-        _keep_needed(plain, _needed(small, "_id")).join(small, "_id").select("label", "_id", "text")
+        (plain.join(F.broadcast(small), "_id") if few else _keep_needed(plain, _needed(small, "_id")).join(small, "_id")).select("label", "_id", "text")
         .repartition("label").sortWithinPartitions("label", "_id").mapInArrow(grouped(sketch), "a bigint, b bigint")
         .unionByName(edges)
     )

@@ -66,6 +66,7 @@ def test_components_against_all_pairs(spark, seed):
 
 def test_blocks_and_copied_partners(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FAN", 5)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
     base = near_groups(3, 60)
     r = random.Random(9)
     big = [f"w{r.randrange(10**6)}" for _ in range(80)]
