@@ -4,9 +4,11 @@ Pages are parsed to trees. Trees of one host, summarised (runs of equal siblings
 as one node, texts as hashes and lengths), are aligned in neighbouring pairs by
 simple tree matching: matched nodes with equal text are template, those with
 other text are slots, and the container with most slot text is the host's
-wrapper. A page that marks its article is taken at its word; otherwise the
-host's wrapper tells where the article stands, and without one the page's
-densest container does.
+wrapper. On each page the wrapper tells where the article stands; marks check it:
+where an element around that place is marked as article or main part, the text is
+the whole of it, and a place outside all of a page's marks yields to them. Only
+pages that their host's wrapper does not fit, or whose host has no two different
+pages to align, go by marks alone, and by the densest container without any.
 """
 
 from __future__ import annotations
@@ -46,9 +48,12 @@ BESIDE = set(
     " discussion share sharing social related newsletter subscribe subscription signup login popup modal pagination pager search".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Levels of a tree; what is nested deeper counts as content of the element at that level.
+DEPTH = 256
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 #: Pages of one alignment group at most, about.
 GROUP = 64
-#: Largest size at which the hosts' wrappers are broadcast; beyond, they are joined.
+#: Largest size at which a row for each host is broadcast; beyond, they are joined.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -72,7 +77,7 @@ def parse(text: str) -> Node:
     """A tree of a page as browsers would read it, near enough: implied ends, unclosed elements, raw text."""
     root = Node("#root")
     stack = [root]
-    at, low = 0, None
+    at = 0
     while True:
         m = _TAG.search(text, at)
         piece = text[at : m.start() if m else len(text)]
@@ -98,14 +103,16 @@ def parse(text: str) -> Node:
                 if stack[k].tag not in INLINE:
                     break
         node = Node(tag, m[3])
-        stack[-1].kids.append(node)
+        if len(stack) >= DEPTH and not node.outside and tag not in RAW:
+            node.kids = stack[-1].kids
+        else:
+            stack[-1].kids.append(node)
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
-            low = text.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            node.kids.append(text[at : end if end >= 0 else len(text)])
-            close = text.find(">", end) if end >= 0 else -1
+            end = _RAW_END[tag].search(text, at)
+            node.kids.append(text[at : end.start() if end else len(text)])
+            close = text.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else len(text)
             continue
         stack.append(node)
@@ -244,16 +251,10 @@ def host_of(url):
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trees of pages that mark no article."""
+    """The pages' trees in short."""
     for b in batches:
-        rows = []
-        for host, n, text in zip(*(b.column(i) for i in range(3)), strict=True):
-            tree = parse(text.as_py() or "")
-            if _marked(tree) is None:
-                rows.append((host.as_py(), n.as_py(), json.dumps(summary(tree)).encode()))
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        kinds = (pa.string(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "salt", "tree"])
+        trees = [json.dumps(summary(parse(text.as_py() or "")), separators=(",", ":")).encode() for text in b.column("html")]
+        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("salt"), pa.array(trees, pa.binary())], names=["host", "salt", "tree"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +272,21 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sized(hosts: DataFrame) -> DataFrame:
+    """A written table with a row for each host, marked for broadcast if it is small."""
+    texts = sum((F.length(c) for c, t in hosts.dtypes if t == "string"), F.lit(32))
+    return F.broadcast(hosts) if (hosts.agg(F.sum(texts)).first()[0] or 0) <= BROADCAST_BYTES else hosts
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the container path with most slot text, for hosts with pages that mark no article.
+    """(host, wrapper): the container path with most slot text, for hosts with at least two different pages.
 
     ``pages`` has host, salt (a hash of the page) and html. Hosts go in groups of about GROUP pages, so no host is
     one task's; only tree summaries are shuffled.
     """
     trees = cut(pages.select("host", "salt", "html").mapInArrow(_summaries, "host string, salt bigint, tree binary"))
     n = cut(trees.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("s")))
-    dealt = trees.join(n, "host").select("host", F.pmod("salt", "s").alias("part"), "tree")
+    dealt = trees.join(_sized(n), "host").select("host", F.pmod("salt", "s").alias("part"), "tree")
     aligned = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInArrow(
         _align, "host string, path string, mass bigint"
     )
@@ -288,11 +295,14 @@ def induce(pages: DataFrame) -> DataFrame:
 
 
 def _at(node: Node, path: str) -> Node | None:
-    """The element at a wrapper's path (with the largest text, of several)."""
-    found = [node] if path.split("/")[0] == node.key else []
-    for step in path.split("/")[1:]:
-        found = [k for n in found for k in _blocks_of(n) if k.key == step]
-    return max(found, key=_mass, default=None)
+    """The element at a wrapper's path (with the largest text, of several), or the innermost marked one around it."""
+    steps = path.split("/")
+    found = [(node, None)] if steps[0] == node.key else []
+    for step in steps[1:]:
+        found = [(k, k if k.main else marked) for n, marked in found for k in _blocks_of(n) if k.key == step]
+    if len(found) > 1:
+        found = [max(found, key=lambda f: _mass(f[0]))]
+    return next((marked or n for n, marked in found), None)
 
 
 def _blocks_of(node: Node) -> Iterator[Node]:
@@ -316,23 +326,25 @@ def _densest(node: Node) -> Node:
 
 
 def main_text(text: str | None, wrapper: str | None = None) -> str:
+    """Text of the article, which stands where ``wrapper`` (its host's) tells, checked by the page's own marks."""
     tree = parse(text or "")
-    part = _marked(tree)
-    if part is None and wrapper is not None:
-        part = _at(tree, wrapper)
-    return "\n".join(blocks(part if part is not None else _densest(tree), True))
+    part = _at(tree, wrapper) if wrapper is not None else None
+    if part is None or not part.main:
+        marked = _marked(tree)
+        part = marked if marked is not None else part if part is not None else _densest(tree)
+    return "\n".join(blocks(part, True))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null html has an empty text; a null url counts as a host of its own; repeated rows repeat; other columns are ignored.
+    Elements nested deeper than DEPTH keep their text, as part of the element at that level.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     keyed = rows.withColumn("host", host_of(F.col("url")))
     wrappers = induce(keyed.withColumn("salt", F.xxhash64("page_id", "url")))
-    size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper") + 32)).first()[0] or 0
-    keyed = keyed.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    keyed = keyed.join(_sized(wrappers), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

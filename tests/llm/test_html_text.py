@@ -1,6 +1,8 @@
 import html
 import re
 
+from pyspark.sql import functions as F
+
 from originlake.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="<p>no</p>";</script></head>
@@ -20,6 +22,29 @@ def test_parts_beside_the_article_go():
     assert h.main_text('a < b <a title="x>y">c</a> <br/> d') == "a < b c d"
 
 
+def test_odd_pages():
+    deep = "<div>" * 5000 + "in<script>no</script>" + "</div>" * 5000 + "<nav>" * 3000
+    assert h.main_text(f"<article><p>a</p>{deep}</article>") == "a\nin"
+    # a letter whose lower case is longer, before raw text
+    assert h.main_text("<article><p>" + "\u0130" * 40 + "</p><SCRIPT>x</scripted></Script ><p>b</p></article>") == "\u0130" * 40 + "\nb"
+
+
+def test_marks_check_the_wrapper():
+    page = '<html><body><div><p>beside</p></div><main><h1>t</h1><section><p>one</p></section><section><p>two and more</p></section></main></body></html>'
+    assert h.main_text(page, "#root/html/body/main/section") == "t\none\ntwo and more"
+    assert h.main_text(page, "#root/html/body/div") == "t\none\ntwo and more"
+    assert h.main_text(page, "#root/html/body/table") == "t\none\ntwo and more"
+    plain = page.replace("main>", "div>")
+    assert h.main_text(plain, "#root/html/body/div/section") == "two and more"
+
+
+def test_wrappers_of_the_test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", h.host_of(F.col("url"))).withColumn("salt", F.xxhash64("url"))
+    got = h.induce(pages).collect()
+    several = pages.groupBy("host").agg(F.count_distinct("html").alias("n")).where("n > 1").count()
+    assert len(got) == several and {r["wrapper"] for r in got} == {"#root/html/body/article"}
+
+
 def test_tree_matching():
     a = ["r", 0, 0, [["x", 1, 5, []], ["y", 2, 5, [["z", 3, 5, []]]]]]
     b = ["r", 0, 0, [["w", 9, 5, []], ["x", 1, 5, []], ["y", 7, 5, [["z", 8, 6, []]]]]]
