@@ -72,6 +72,18 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
         at = t.find("@", max(at + 1, free))
 
 
+def _ibans(t: str) -> Iterator[tuple[int, int]]:
+    """Longest first, as capitals and numbers that follow may look like further groups."""
+    m = _IBAN.search(t)
+    while m:
+        a, b = m.span()
+        ends = (b, *(i for i in range(b - 1, a, -1) if t[i] == " "))
+        b = next((i for i in ends if mod97(t[a:i])), None)
+        if b is not None:
+            yield a, b
+        m = _IBAN.search(t, b or a + 1)
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or "0") <= 255
@@ -93,9 +105,8 @@ def _proposed(t: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(t):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(t):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+    for a, b in _ibans(t):
+        yield "iban", a, b
     for m in _SSN.finditer(t):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()

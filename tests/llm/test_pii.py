@@ -67,3 +67,9 @@ def test_redaction_and_empty(docs, empty):
     assert out.columns == docs.drop("length").columns
     assert out.where("text like '%example.org%'").count() == 0
     assert pii.pii_digest(empty).count() == 0
+
+
+def test_account_numbers_end_where_their_check_holds():
+    text = "IBAN GB82 WEST 1234 5698 7654 32 AND 12 DE89 3704 0044 0532 0130 00 ETC"
+    assert [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]
+    assert [k for k, *_ in pii.spans("GB83 WEST 1234 5698 7654 32 AND") if k == "iban"] == []
