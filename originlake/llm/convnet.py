@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from originlake.llm.quality_rules import labelled_sample
 from originlake.llm.text import text_buffers
@@ -177,15 +178,19 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7) -> dict[str, np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray]:
-    """Train on labelled rows outside the held-out fold; the sample's size is bounded by ``most`` and ``most_bytes``."""
-    rows = labelled_sample(docs, labels, most).where("text is not null").dropDuplicates(["doc_id"]).toLocalIterator()
-    texts, y, room = [], [], most_bytes
-    for r in sorted(((r["doc_id"], r["text"].encode(), r["y"]) for r in rows), key=lambda r: r[0]):
-        if len(r[1]) <= room:
-            room -= len(r[1])
-            texts.append(r[1])
-            y.append(r[2])
-    return train(texts, np.array(y, np.float32))
+    """Train on labelled rows outside the held-out fold: ``most`` rows and of them, in order of a hash,
+    ``most_bytes`` of text, without texts of over a sixteenth of that.
+
+    All bounds hold before anything reaches the driver; the window is over those rows only.
+    """
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (
+        labelled_sample(docs, labels, most).where(F.octet_length("text") <= most_bytes // 16).dropDuplicates(["doc_id"])
+        .withColumn("bytes", F.sum(F.octet_length("text")).over(so_far))
+        .where(F.col("bytes") <= most_bytes).select("doc_id", "text", "y").collect()
+    )
+    rows.sort(key=lambda r: r["doc_id"])
+    return train([r["text"].encode() for r in rows], np.array([r["y"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,3 +52,12 @@ def test_edges(spark, docs, texts, empty, labels):
     assert convnet.score(docs, w).where("score between 0 and 1").count() == len(texts)
     assert convnet.score(docs, w).where("score < 0.7").count() == 0
     assert convnet.score(empty, w).count() == 0
+
+
+def test_sample_is_bounded(spark, docs, labels, monkeypatch):
+    seen = []
+    monkeypatch.setattr(convnet, "train", lambda texts, y: seen.append(texts))
+    convnet.fit(docs, labels, most_bytes=40_000)
+    convnet.fit(docs, labels, most=10)
+    assert seen[0] and sum(map(len, seen[0])) <= 40_000 and max(map(len, seen[0])) <= 2500
+    assert 0 < len(seen[1]) <= 10
