@@ -199,7 +199,8 @@ def prefixes(sketch: Sketch):
 def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted tiles to the rows of those with company, each with the tile's center for its size.
 
-    Rows whose hash stands too late in their order to be the first one in common go.
+    Rows whose hash stands too late in their order to be the first one in common go. Of a tile in several blocks all
+    other rows stay, as their company may be in another block.
 
     The center is the first document, by size, that is not too small; one row of state.
     """
@@ -229,7 +230,7 @@ def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [tok, block, doc, at]
         if not len(tok):
             continue
-        shared = np.bincount(tile)[tile] > 1
+        shared = (np.bincount(tile)[tile] > 1) | (block & 0xFFFFFFFF > 1)
         center = np.searchsorted(line + n, line + -(-NUM * n // DEN))
         out = np.flatnonzero(shared)
         out = out[(out >= skip) | ~np.isin(out, held[2])] if held is not None else out
@@ -239,7 +240,7 @@ def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows that later ones of the last tile may need: its center for the largest size so far
         last = np.flatnonzero(tile == tile[-1])
         keep = np.unique([center[len(tok) - 1], len(tok) - 1])
-        held = ([c[keep] for c in cols], len(keep), np.arange(len(keep)) if len(last) > 1 else np.zeros(0, np.int64))
+        held = ([c[keep] for c in cols], len(keep), np.arange(len(keep)) if shared[-1] else np.zeros(0, np.int64))
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,6 +88,16 @@ def test_hot_tiles_in_blocks():
     assert sketch.blocks(np.array([0, 40, 60])).tolist() == [1, 1, 10]
 
 
+def test_few_rows_of_a_frequent_hash_in_several_blocks(spark):
+    notice = [f"n{k}" for k in range(24)]  # frequent in all texts, among the rarest of the short ones only
+    rows = [(k, " ".join([f"r{k}x{j}" for j in range(300)] + notice)) for k in range(160)]
+    rows += [(1000 + k, " ".join([*notice, f"t{k}"])) for k in range(5)]
+    want = brute(rows)
+    assert {c for i, _, c in want if i >= 1000} == {1000}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12)
+    assert sorted(tuple(x) for x in jaccard.near_duplicates(df, block=4).collect()) == want
+
+
 def test_bitmaps_bound_the_difference():
     r = np.random.default_rng(0)
     for n in (0, 1, 3, 70, 500, 3000):
