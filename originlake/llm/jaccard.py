@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from originlake.llm.graph import components
@@ -218,8 +218,10 @@ def _centers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (tok[1:] != tok[:-1]) | (block[1:] != block[:-1])
         tile = np.cumsum(new)
         line = tile << 32
-        # the first row of the tile whose size is within the ratio: no partner asks for less overlap
+        # the first row of the tile whose size is within the ratio: no partner asks for less overlap; other blocks'
+        # partners may ask for the least there can be
         smallest = n[np.searchsorted(line + n, line + -(-NUM * n // DEN))]
+        smallest = np.where(block & 0xFFFFFFFF > 1, -(-NUM * n // DEN), smallest)
         able = n - (at & 0xFFFFFFFF) >= least_overlap(n, smallest)
         skip = 0
         if held is not None:  # of the tile that goes on, rows between are gone: ask for the least there can be
@@ -486,6 +488,21 @@ def _large_links(plain: DataFrame, member: DataFrame, shared: DataFrame, stars:
     return cut(links.unionByName(verified(plain, more)))
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the blocks of a tile wherever sizes are within the ratio.
+
+    Rows of one size join through their smallest document, sizes to the next one below, unless it is too small; what
+    lies between two sizes within the ratio is within it, too.
+    """
+    n = F.shiftright("at", 32)
+    heads = cut(rows.groupBy("tok", "block", n.alias("n")).agg(F.min("doc").alias("a")))
+    over = cut(heads.groupBy("tok", "n").agg(F.min("a").alias("b")))
+    line = Window.partitionBy("tok").orderBy("n")
+    below = over.select("b", "n", F.lag("b").over(line).alias("a"), F.lag("n").over(line).alias("m"))
+    chain = below.where(F.col("m") * DEN >= F.col("n") * NUM).select("a", "b")
+    return heads.join(over, ["tok", "n"]).select("a", "b").unionByName(chain).where("a <> b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, large: int = LARGE
 ) -> DataFrame:
@@ -524,9 +541,7 @@ def near_duplicates(
     blocks = F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     stars = _as_reps(_as_reps(shared.where("doc <> center").groupBy("doc", "center").agg(F.count(F.lit(1)).alias("k")), rep_of, "doc"), rep_of, "center")
     stars = cut(stars.where("doc <> center"))
-    heads = shared.where(blocks > 1).groupBy("tok", "block").agg(F.min("doc").alias("a"))
-    over = cut(heads.groupBy("tok").agg(F.min("a").alias("b")))
-    across = _as_reps(_as_reps(heads.join(over, "tok").select("a", "b").distinct(), rep_of, "a"), rep_of, "b")
+    across = _as_reps(_as_reps(_across(shared.where(blocks > 1)), rep_of, "a"), rep_of, "b")
     group = components(stars.select(F.col("doc").alias("a"), F.col("center").alias("b")).unionByName(across))
     size = member.where("doc = rep").select(F.col("doc").alias("node"), "n").dropDuplicates(["node"])
     sizes = cut(group.join(size, "node").groupBy("label").agg(F.sum("n").alias("n")).withColumn("large", F.col("n") > large).drop("n"))

@@ -98,6 +98,19 @@ def test_few_rows_of_a_frequent_hash_in_several_blocks(spark):
     assert sorted(tuple(x) for x in jaccard.near_duplicates(df, block=4).collect()) == want
 
 
+@pytest.mark.parametrize("large", [jaccard.LARGE, 300])
+def test_blocks_with_rows_of_distant_sizes(spark, large):
+    notice = [f"n{k}" for k in range(84)]
+    rows = [(k, " ".join([f"r{k}x{j}" for j in range(400)] + notice)) for k in range(160)]
+    rows += [(1000 + k, " ".join(notice[:14] + [f"s{k}"])) for k in range(6)]  # 11 shingles
+    rows += [(2000 + k, " ".join([f"t{k}", *notice])) for k in range(6)]  # 81 shingles
+    rows += [(3000 + k, " ".join([*notice, *(f"u{k}x{j}" for j in range(25 - k))])) for k in range(6)]
+    want = brute(rows)
+    assert {c for i, _, c in want if i >= 1000} == {1000, 2000}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12)
+    assert sorted(tuple(x) for x in jaccard.near_duplicates(df, block=4, large=large).collect()) == want
+
+
 def test_bitmaps_bound_the_difference():
     r = np.random.default_rng(0)
     for n in (0, 1, 3, 70, 500, 3000):
