@@ -227,11 +227,45 @@ def match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return best[-1][-1][0] + 1, found
 
 
-def slots(a: list, b: list) -> dict[str, int]:
+def _varying(root: list, same: dict[int, list]) -> dict[str, list[int]]:
+    """By path, the chain of elements from the root (as their ids) that hold all elements there with text of this page.
+
+    Text of a page is what has no equal counterpart in ``same``.
+    """
+    out: dict[str, list[int]] = {}
+
+    def walk(n: list, path: str, chain: list[int]) -> bool:
+        other = same.get(id(n))
+        mine = other is None or (n[1], n[2]) != (other[1], other[2])
+        found = n[2] > 0 and mine
+        chain = [*chain, id(n)]
+        for k in n[3]:
+            found |= walk(k, f"{path}/{k[0]}", chain)
+        if found:
+            had = out.get(path, chain)
+            out[path] = [x for x, y in zip(had, chain, strict=False) if x == y]
+        return found
+
+    walk(root, root[0], [])
+    return out
+
+
+def holders(a: list, b: list, pairs: list[tuple[list, list]]) -> dict[str, str]:
+    """For paths at which several elements of one page hold text of that page: the path of their lowest common container."""
+    out: dict[str, str] = {}
+    for root, same in ((a, {id(x): y for x, y in pairs}), (b, {id(y): x for x, y in pairs})):
+        for path, chain in _varying(root, same).items():
+            steps = path.split("/")
+            if len(chain) < len(steps):
+                out[path] = min(out.get(path, path), "/".join(steps[: len(chain)]), key=len)
+    return out
+
+
+def slots(a: list, b: list, pairs: list[tuple[list, list]] | None = None) -> dict[str, int]:
     """Slot text of each container: what matched children hold where their texts differ, by the container's path."""
     out: dict[str, int] = {}
     paths = {id(a): a[0]}
-    pairs = match(a, b)[1]
+    pairs = match(a, b)[1] if pairs is None else pairs
     same = {id(x): y for x, y in pairs}
 
     def walk(n: list) -> None:
@@ -258,17 +292,21 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted trees to slot text by host and path: each page with the one before it, if their texts differ."""
+    """Sorted trees to slot text by host and path, and holders' depths: each page with the one before it, if their texts differ."""
     last = None
     for b in batches:
         rows = []
         for host, salt, tree in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if last is not None and last[:2] == (host, salt) and last[2] != tree:
-                rows += [(host, p, n) for p, n in slots(json.loads(last[2]), json.loads(tree)).items()]
+                x, y = json.loads(last[2]), json.loads(tree)
+                pairs = match(x, y)[1]
+                rows += [(host, p, n, None) for p, n in slots(x, y, pairs).items()]
+                rows += [(host, p, 0, h.count("/") + 1) for p, h in holders(x, y, pairs).items()]
             last = (host, salt, tree)
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["host", "path", "mass"]
+            [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
+            names=["host", "path", "mass", "depth"],
         )
 
 
@@ -281,6 +319,8 @@ def _sized(hosts: DataFrame) -> DataFrame:
 def induce(pages: DataFrame) -> DataFrame:
     """(host, wrapper): the container path with most slot text, for hosts with at least two different pages.
 
+    Where several elements at that path hold text of one page, the wrapper is the container of all of them.
+
     ``pages`` has host, salt (a hash of the page) and html. Hosts go in groups of about GROUP pages, so no host is
     one task's; only tree summaries are shuffled.
     """
@@ -288,10 +328,12 @@ def induce(pages: DataFrame) -> DataFrame:
     n = cut(trees.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("s")))
     dealt = trees.join(_sized(n), "host").select("host", F.pmod("salt", "s").alias("part"), "tree")
     aligned = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInArrow(
-        _align, "host string, path string, mass bigint"
+        _align, "host string, path string, mass bigint, depth bigint"
     )
-    total = aligned.groupBy("host", "path").agg(F.sum("mass").alias("m"))
-    return cut(total.groupBy("host").agg(F.max(F.struct("m", "path"))["path"].alias("wrapper")))
+    total = aligned.groupBy("host", "path").agg(F.sum("mass").alias("m"), F.min("depth").alias("depth")).where("m > 0")
+    best = total.groupBy("host").agg(F.max(F.struct("m", "path", "depth")).alias("w"))
+    whole = F.when(F.col("w.depth").isNull(), F.col("w.path")).otherwise(F.expr("substring_index(w.path, '/', cast(w.depth as int))"))
+    return cut(best.select("host", whole.alias("wrapper")))
 
 
 def _at(node: Node, path: str) -> Node | None:

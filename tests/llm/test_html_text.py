@@ -67,6 +67,20 @@ def test_wrapper_of_a_host(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_articles_in_several_sections(spark):
+    page = '<html><body><div class="top"><p>same on all</p></div><div class="content"><h2>{t}</h2>{s}</div></body></html>'
+    sec = '<h3>h{i}.{j}</h3><section class="part"><p>{i} {j} {w}</p><p>more {i} {j}</p></section>'
+    word = lambda i, j: " ".join(f"w{i}" for _ in range(3 + 4 * (i * j % 5)))
+    rows, want = [], {}
+    for i in range(8):
+        n = 1 + i % 4
+        s = "".join(sec.format(i=i, j=j, w=word(i, j)) for j in range(n))
+        rows.append((i, f"http://s.example/{i}", page.format(t=f"title {i}", s=s)))
+        want[i] = "\n".join([f"title {i}"] + [x for j in range(n) for x in (f"h{i}.{j}", f"{i} {j} {word(i, j)}", f"more {i} {j}")])
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in h.extract(df).collect()} == want
+
+
 def test_query_against_marked_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r for r in h.extract(pages).collect()}
