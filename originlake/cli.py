@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,21 @@ from originlake.sources import dumps, jsonl, store
 from originlake.streaming import updater
 
 
-def text_table(rows: DataFrame, most: int = 1000) -> str:
-    """Result rows as a text table with the columns origin, prefix, max_len, dates_ranges."""
-    data = [[str(v) for v in r] for r in Q.display_rows(rows.orderBy(*Q.ORDER)).limit(most).collect()]
+def table_lines(rows: DataFrame) -> Iterator[str]:
+    """All result rows as lines of a text table with the columns origin, prefix, max_len, dates_ranges, streamed in order."""
     head = ["origin", "prefix", "max_len", "dates_ranges"]
-    width = [max(len(r[i]) for r in [head, *data]) for i in range(4)]
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in head]
+    most = Q.display_rows(rows).select(texts).agg(*(F.max(F.length(c)).alias(c) for c in head)).first()
+    width = [max(len(c), most[c] or 0) for c in head]
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, width, strict=True)) + " |"
-    return "\n".join([line(head), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, data)])
+    yield line(head)
+    yield "|" + "|".join("-" * (w + 2) for w in width) + "|"
+    yield from map(line, Q.display_rows(rows.orderBy(*Q.ORDER)).select(texts).toLocalIterator())
+
+
+def text_table(rows: DataFrame) -> str:
+    """The table's lines as one text, for results that fit the driver."""
+    return "\n".join(table_lines(rows))
 
 
 def rebuild(spark: SparkSession, path: str, base: str, tal: str | None = None, since=None, until=None) -> str:
@@ -118,7 +127,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(e, file=sys.stderr)
             return 1
         if a.command == "search":
-            print(text_table(Q.search(rows, a.prefix, a.asn, a.max_len, a.date, a.current, a.exact)))
+            for line in table_lines(Q.search(rows, a.prefix, a.asn, a.max_len, a.date, a.current, a.exact)):
+                print(line)
         elif a.command == "export":
             jsonl.export_jsonl(rows, a.output)
         else:

@@ -88,6 +88,15 @@ def test_current_expired_and_paging(spark):
     assert Q.health(empty) == {"ipv4_roas_count": 0, "ipv6_roas_count": 0, "latest_date": "1970-01-01", "format_version": 2}
 
 
+def test_search_command_prints_every_row(spark, tmp_path, capsys):
+    h = stored(spark, [(f"10.{k // 256}.{k % 256}.0/24", 64500, 24) for k in range(1203)])
+    store.publish(h, str(tmp_path / "many"))
+    assert cli.main([str(tmp_path / "many"), "search", "--asn", "64500"], spark) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 2 + 1203 and len({len(x) for x in lines}) == 1
+    assert [x.split(" | ")[1].strip() for x in lines[2:]] == [f"10.{k // 256}.{k % 256}.0/24" for k in range(1203)]
+
+
 def test_counts_of_both_conventions(spark):
     h = stored(spark, [("1.1.1.0/24", a, m) for a in (1, 2) for m in (24, 25)] + V6[:1])
     assert {(r["fam"], r["prefixes"], r["records"]) for r in H.counts(h).collect()} == {(4, 1, 4), (6, 1, 1)}
