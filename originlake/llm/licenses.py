@@ -88,6 +88,17 @@ def _finds(text: bytes, what: bytes) -> Iterator[int]:
         at = text.find(what, at + 1)
 
 
+def _copies(notice: Notice, text: bytes, lo: int, hi: int) -> list:
+    """Matches of a notice in order: the best one, then those in what is left before and after it."""
+    found, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo >= len(notice.text) - notice.edits and (m := notice.match.search(text, lo, hi)):
+            found.append(m)
+            todo += [(lo, m.start()), (m.end(), hi)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> list[dict]:
     """For each text: n_words, places (start word, label) of base phrases, and fuzzy hits.
 
@@ -122,7 +133,7 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> list[dict]:
                 else:
                     merged.append((lo, hi))
             for lo, hi in merged:
-                for m in notice.match.finditer(text, lo, hi):
+                for m in _copies(notice, text, lo, hi):
                     a = m.start() + (text[m.start()] in b" \n")
                     edits = sum(m.fuzzy_counts)
                     out[d]["hits"].append((notice.label, where(a)[1], where(max(a, m.end() - 2))[1], edits, 1 - edits / len(notice.text)))

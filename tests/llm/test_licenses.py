@@ -49,3 +49,13 @@ def test_every_notice_survives_its_edits(label):
         assert any(h[0] == label for h in r["hits"]), k
         h = next(h for h in r["hits"] if h[0] == label)
         assert h[1] <= 3 and h[3] <= notice.edits
+
+
+def test_a_worse_copy_before_a_better_one():
+    import numpy as np
+
+    exact = licenses.NOTICES["gpl"]
+    own = " ".join(["so", exact.replace("gnu", "gnv"), exact, exact.replace("terms", "term"), "end"]).encode()
+    r = licenses.scan_chunk(np.frombuffer(own, np.uint8), np.array([0, len(own)]))[0]
+    hits = [h for h in r["hits"] if h[0] == "gpl"]
+    assert [(h[1], h[2], h[3]) for h in hits] == [(1, 9, 1), (10, 18, 0), (19, 27, 1)]
