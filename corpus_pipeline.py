@@ -23,10 +23,17 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near duplicates the document with the smallest id; texts without words all stay."""
-    groups = jaccard.near_duplicates(docs)
-    extra = cut(groups.where("doc_id <> component_id or doc_id is not null and component_id is null").select("doc_id").distinct())
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """Keep of each group of near duplicates one row with the smallest id; texts without words all stay.
+
+    Rows are told apart by a number of their own, so those that share an id, or have none, are judged by their texts.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = cut(jaccard.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id"))
+    first = F.min(F.struct("doc_id", "_row"))["_row"].alias("_first")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    copies = cut(groups.join(several, "component_id").join(rows.select("_row", "doc_id"), "_row"))
+    extra = copies.join(copies.groupBy("component_id").agg(first), "component_id").where("_row <> _first").select("_row")
+    return rows.join(extra, "_row", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,13 @@ def test_stages_and_result(spark):
     texts = {r["doc_id"]: r["text"] for r in seen[4].collect()}
     assert ids == {i: np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in texts.items()}
     assert corpus_pipeline.run(spark, SF).count() == seen[5].count()
+
+
+def test_one_row_of_copies_with_shared_or_null_ids(spark):
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(5, words(1, 40)), (5, words(1, 40)), (5, words(2, 40)), (3, words(2, 40) + " more"), (None, words(3, 40)), (None, words(3, 40))]
+    rows += [(None, words(4, 40)), (9, words(4, 41)), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    want = [(5, words(1, 40)), (3, words(2, 40) + " more"), (None, words(3, 40)), (None, words(4, 40)), (7, ""), (7, ""), (8, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
