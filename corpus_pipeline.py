@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut byte strings of 100 that stand earlier; documents of which nothing is left go."""
-    return suffix_dedup.dedup(docs).where(F.length("text") > 0)
+    """Cut byte strings of 100 that stand earlier; documents of which nothing is left go, those empty before stay."""
+    kept = suffix_dedup.dedup(docs.withColumn("_empty", F.coalesce(F.length("text"), F.lit(0)) == 0))
+    return kept.where("_empty or length(text) > 0").drop("_empty")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,10 @@ def test_one_row_of_copies_with_shared_or_null_ids(spark):
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
     want = [(5, words(1, 40)), (3, words(2, 40) + " more"), (None, words(3, 40)), (None, words(4, 40)), (7, ""), (7, ""), (8, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_empty_texts_stay_when_passages_go(spark):
+    rows = [(1, "", "a"), (2, None, "b"), (3, "x" * 50 + "y" * 70, "c"), (4, "x" * 50 + "y" * 70, "d"), (5, "short", "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(tuple(r) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect())
+    assert got == [(1, "", "a"), (2, "", "b"), (3, "x" * 50 + "y" * 70, "c"), (5, "short", "e")]
