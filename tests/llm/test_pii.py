@@ -73,3 +73,12 @@ def test_account_numbers_end_where_their_check_holds():
     text = "IBAN GB82 WEST 1234 5698 7654 32 AND 12 DE89 3704 0044 0532 0130 00 ETC"
     assert [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]
     assert [k for k, *_ in pii.spans("GB83 WEST 1234 5698 7654 32 AND") if k == "iban"] == []
+
+
+def test_context_is_whole_words():
+    kinds = lambda t: [s[0] for s in pii.spans(t)]
+    for t in ("the hotel 555-123-4567", "basically 555.123.4567", "excellent 555-123-4567", "banker AT611904300234573201"):
+        assert kinds(t) == [], t
+    assert kinds("Call 555-123-4567") == kinds("phones: 555.123.4567") == kinds("555-123-4567 (fax)") == ["tel"]
+    assert kinds("account AT611904300234573201") == kinds("AT61 1904 3002 3457 3201") == ["iban"]
+    assert kinds("account ZZ611904300234573201") == kinds("account AT6119043002345732010") == []
