@@ -22,23 +22,46 @@ from originlake.llm.text import lower_ascii, runs_of, text_buffers
 #: Base phrases, as words, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Short notices in normal form (lower case, words apart by one space) and their labels.
-NOTICES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software",
-    "apache": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
-    "gpl": "under the terms of the gnu general public license",
-    "lgpl": "under the terms of the gnu lesser general public license",
-    "mpl": "subject to the terms of the mozilla public license",
-    "cc-by": "licensed under a creative commons attribution",
-    "isc": "permission to use copy modify and or distribute this software for any purpose",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "reserved": "all rights reserved",
-}
-
-#: Edits allowed in a notice: one for each so many characters.
+#: Edits allowed in a notice: one for each so many characters, none in texts of fewer than twice as many.
 CHARS_AN_EDIT = 12
 
+#: Short notices in normal form (lower case, words apart by one space) after their labels; a label may have several.
+NOTICES = """
+mit: permission is hereby granted free of charge to any person obtaining a copy of this software
+mit: licensed under the mit license
+apache: licensed under the apache license version 2 0
+apache: distributed under the license is distributed on an as is basis without warranties or conditions of any kind
+bsd: redistribution and use in source and binary forms with or without modification are permitted
+bsd: redistributions of source code must retain the above copyright notice
+bsd: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+gpl: under the terms of the gnu general public license
+gpl: you should have received a copy of the gnu general public license
+lgpl: under the terms of the gnu lesser general public license
+lgpl: you should have received a copy of the gnu lesser general public license
+agpl: under the terms of the gnu affero general public license
+agpl: you should have received a copy of the gnu affero general public license
+mpl: subject to the terms of the mozilla public license
+epl: under the terms of the eclipse public license
+cc-by: licensed under a creative commons attribution
+cc-by: creative commons attribution 4 0 international license
+cc-by-sa: creative commons attribution sharealike
+cc-by-nc: creative commons attribution noncommercial
+cc-by-nd: creative commons attribution noderivatives
+cc0: creative commons zero v1 0 universal
+cc0: has waived all copyright and related or neighboring rights
+isc: permission to use copy modify and or distribute this software for any purpose
+unlicense: this is free and unencumbered software released into the public domain
+boost: boost software license version 1 0
+zlib: this software is provided as is without any express or implied warranty
+reserved: no part of this publication may be reproduced distributed or transmitted in any form
+"""
+#: Identifiers after ``SPDX-License-Identifier:``, in normal form, and their labels; these allow no edits.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "gpl 2 0": "gpl", "gpl 3 0": "gpl",
+    "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl", "epl 2 0": "epl", "isc": "isc",
+    "unlicense": "unlicense", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "bsl 1 0": "boost", "zlib": "zlib",
+}
+
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = True
 _WORD[0x61:0x7B] = True
@@ -46,16 +69,26 @@ _WORD[0x80:] = True
 
 
 class Notice:
-    def __init__(self, label: str, text: str):
+    """A notice that may differ by ``edits``, the seeds one of which stands unchanged in each copy, and its pattern."""
+
+    def __init__(self, label: str, text: str, edits: int | None = None):
         self.label, self.text = label, text
-        self.edits = max(1, len(text) // CHARS_AN_EDIT) if len(text) >= 24 else 1
+        few = len(text) < 2 * CHARS_AN_EDIT
+        self.edits = edits if edits is not None else 0 if few else len(text) // CHARS_AN_EDIT
         step = len(text) / (self.edits + 1)
         cuts = [round(i * step) for i in range(self.edits + 2)]
         self.seeds = [(text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.match = regex.compile(rf"(?b)(?<![0-9a-z\x80-\xff])(?:{regex.escape(text, special_only=True)}){{e<={self.edits}}}(?![0-9a-z\x80-\xff])".encode())
+        fuzzy = f"{{e<={self.edits}}}" if self.edits else ""
+        self.match = regex.compile(rf"(?b)(?<![0-9a-z\x80-\xff])(?:{regex.escape(text, special_only=True)}){fuzzy}(?![0-9a-z\x80-\xff])".encode())
+
+
+def notices(text: str = NOTICES, spdx: dict[str, str] = SPDX) -> list[Notice]:
+    """The notices of a table in the form of NOTICES and of identifiers."""
+    fuzzy = [Notice(*map(str.strip, line.split(":", 1))) for line in text.strip().splitlines()]
+    return fuzzy + [Notice(label, f"spdx license identifier {name}", 0) for name, label in spdx.items()]
 
 
-_NOTICES = [Notice(k, v) for k, v in NOTICES.items()]
+_NOTICES = notices()
 
 
 def normal_text(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +132,7 @@ def _copies(notice: Notice, text: bytes, lo: int, hi: int) -> list:
     return sorted(found, key=lambda m: m.start())
 
 
-def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> list[dict]:
+def scan_chunk(data: np.ndarray, offsets: np.ndarray, known: list[Notice] = _NOTICES) -> list[dict]:
     """For each text: n_words, places (start word, label) of base phrases, and fuzzy hits.
 
     A fuzzy hit is (label, first word, last word, edits, score).
@@ -116,7 +149,7 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> list[dict]:
         for pos in _finds(text, b" " + phrase.encode() + b" "):
             d, w = where(pos + 1)
             out[d]["places"].append((w, label))
-    for notice in _NOTICES:
+    for notice in known:
         seen: dict[int, list[tuple[int, int]]] = {}
         for seed, lead in notice.seeds:
             for pos in _finds(text, seed):
@@ -145,8 +178,8 @@ def scan_chunk(data: np.ndarray, offsets: np.ndarray) -> list[dict]:
 HITS = "array<struct<label:string,first_word:bigint,last_word:bigint,edits:int,score:double>>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, ``places`` (word, label of each base phrase) and ``hits`` (fuzzy notices) of whole texts.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[Notice] = _NOTICES) -> DataFrame:
+    """doc_id, n_words, ``places`` (word, label of each base phrase) and ``hits`` (fuzzy notices, those ``known``) of whole texts.
 
     Null text has no words; repeated rows repeat; other columns are ignored. Map-only.
     """
@@ -158,7 +191,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offsets in text_buffers(b.column(1)):
-                rows = scan_chunk(data, offsets)
+                rows = scan_chunk(data, offsets, known)
                 keys = ("label", "first_word", "last_word", "edits", "score")
                 yield pa.RecordBatch.from_arrays(
                     [
