@@ -22,6 +22,8 @@ from originlake.llm.text import text_buffers
 WIDTH, STEP = 8, 4
 CHUNK = 64  # windows in a chunk; chunks start every CHUNK // 2 windows
 EMBED, FILTERS, HIDDEN = 6, 20, 16
+#: Half-chunks whose responses scoring holds at once; a text takes about ten bytes a byte besides.
+PIECE = 2048
 #: Labelled documents to train on, at most, and the bytes of them, at most.
 SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 EPOCHS, BATCH, RATE = 10, 24, 0.004
@@ -65,8 +67,8 @@ def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     halves, first = _layout(lengths + lead)
     half = CHUNK // 2 * STEP
     out = np.zeros(int(halves.sum()) * half + WIDTH, np.uint8)
-    at = np.repeat(first * half + lead - offsets[:-1], lengths) + np.arange(len(data))
-    out[at] = data
+    for x, a, b in zip((first * half + lead).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out[x : x + b - a] = data[a:b]
     return out, halves, first
 
 
@@ -90,14 +92,19 @@ def _chunks(halves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def forward(w: dict, data: np.ndarray, offsets: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Scores (log-odds) of each text."""
     padded, halves, first = _padded(data, offsets)
-    x, e = _windows(w, padded)
-    y = x @ w["w1"]
-    y += w["b1"]
-    np.maximum(y, 0, out=y)
-    y = y.reshape(-1, CHUNK // 2, FILTERS)
-    top, mean = y.max(1), y.mean(1)
+    half = CHUNK // 2 * STEP
+    n = (len(padded) - WIDTH) // half
+    top, mean = (np.empty((n, FILTERS), w["w1"].dtype) for _ in range(2))
+    piece = PIECE if keep is None else n  # of scoring, only a piece's responses are held
+    for a in range(0, n, piece):
+        b = min(a + piece, n)
+        x, e = _windows(w, padded[a * half : b * half + WIDTH])
+        y = x @ w["w1"]
+        y += w["b1"]
+        np.maximum(y, 0, out=y)
+        y = y.reshape(-1, CHUNK // 2, FILTERS)
+        top[a:b], mean[a:b] = y.max(1), y.mean(1)
     left, right, start = _chunks(halves, first)
-    pick = np.where(top[left] >= top[right], left[:, None], right[:, None])
     cmax = np.maximum(top[left], top[right])
     cmean = (mean[left] + mean[right]) / 2
     z = np.concatenate([cmax, cmean], 1)
@@ -107,6 +114,7 @@ def forward(w: dict, data: np.ndarray, offsets: np.ndarray, keep: dict | None =
     davg = np.add.reduceat(h, start) / counts
     d = np.concatenate([dmax, davg], 1)
     if keep is not None:
+        pick = np.where(top[left] >= top[right], left[:, None], right[:, None])
         keep.update(padded=padded, e=e, x=x, y=y, top=top, left=left, right=right, pick=pick, z=z, h=h, dmax=dmax, d=d, start=start, counts=counts)
     return d @ w["w3"] + w["b3"][0]
 
@@ -160,7 +168,7 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 7) -> dict[str, np.ndar
     r = np.random.default_rng(seed)
     w["w3"] = r.normal(0, 0.1, 2 * HIDDEN).astype(np.float32)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    weight = np.where(y == 1, 1.0, 1.0).astype(np.float32)
+    weight = np.ones(len(y), np.float32)
     step, total = 0, EPOCHS * -(-len(y) // BATCH)
     size = np.array([len(t) for t in texts])
     for _ in range(EPOCHS):
@@ -181,11 +189,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int
     """Train on labelled rows outside the held-out fold: ``most`` rows and of them, in order of a hash,
     ``most_bytes`` of text, without texts of over a sixteenth of that.
 
-    All bounds hold before anything reaches the driver; the window is over those rows only.
+    All bounds hold before anything reaches the driver; the window is over those rows only. Of rows that share an id,
+    the one with the smallest text counts, so the weights do not depend on the order of rows.
     """
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = (
-        labelled_sample(docs, labels, most).where(F.octet_length("text") <= most_bytes // 16).dropDuplicates(["doc_id"])
+        labelled_sample(docs, labels, most).where(F.octet_length("text") <= most_bytes // 16)
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
         .withColumn("bytes", F.sum(F.octet_length("text")).over(so_far))
         .where(F.col("bytes") <= most_bytes).select("doc_id", "text", "y").collect()
     )
@@ -194,7 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int
 
 
 def score(docs: DataFrame, weights: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every row's whole text; null text scores as empty. Map-only."""
+    """doc_id and score (0 to 1) of every row's whole text; null text scores as empty. Map-only.
+
+    A long text is read in pieces, of which only the pooled responses are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -61,3 +62,22 @@ def test_sample_is_bounded(spark, docs, labels, monkeypatch):
     convnet.fit(docs, labels, most=10)
     assert seen[0] and sum(map(len, seen[0])) <= 40_000 and max(map(len, seen[0])) <= 2500
     assert 0 < len(seen[1]) <= 10
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    r = np.random.default_rng(1)
+    w = convnet.start_weights(0.8)
+    w["w3"] = r.normal(0, 0.3, 2 * convnet.HIDDEN).astype(np.float32)
+    data = r.integers(32, 250, 70_001, dtype=np.uint8)
+    whole = convnet.forward(w, data, np.array([0, 30_000, len(data)]))
+    monkeypatch.setattr(convnet, "PIECE", 7)
+    assert np.allclose(convnet.forward(w, data, np.array([0, 30_000, len(data)])), whole, atol=1e-5)
+
+
+def test_memory_of_a_long_text():
+    data = np.frombuffer(b"some words of a very long text, " * (1 << 21), np.uint8)  # 64 MB
+    w = convnet.start_weights(0.8)
+    tracemalloc.start()
+    convnet.forward(w, data, np.array([0, len(data)]))
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(data)
+    tracemalloc.stop()
