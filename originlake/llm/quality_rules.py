@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from originlake.llm.text import mix, prefix_hash, runs_of, span_hash, text_buffers, window_hash, words_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_pipes", "n_distinct_words"]
+EXTRA = ["n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_distinct_words"]
 #: Labelled rows that the list is learned from, at most; chosen by a hash of the id.
 SAMPLE = 12_000
 WINDOW = 8
@@ -35,7 +35,6 @@ _UPPER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LETTER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _DIGIT = _table("0123456789")
 _MARK = _table("!?")
-_PIPE = _table("|")
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -83,7 +82,7 @@ def chunk_stats(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         at = whole[twice]
         covered += np.bincount(at, minlength=len(covered)) - np.bincount(at + WINDOW, minlength=len(covered) + WINDOW)[: len(covered)]
     n_repeat = np.bincount(doc_w, np.cumsum(covered)[:-1] > 0, minlength=n).astype(np.int64) if len(s) else np.zeros(n, np.int64)
-    flags = [_sums(t[data], offsets) for t in (_SYMBOL, _UPPER, _LETTER, _DIGIT, _MARK, _PIPE)]
+    flags = [_sums(t[data], offsets) for t in (_SYMBOL, _UPPER, _LETTER, _DIGIT, _MARK)]
     return [n_words, word_chars, flags[0], n_dup, n_repeat, n_lines, *flags[1:], _distinct(wh, doc_w, n)]
 
 
@@ -117,7 +116,6 @@ def features() -> dict[str, Column]:
         "upper_share": _ratio(F.col("n_upper"), F.col("n_letters")),
         "digit_share": _ratio(F.col("n_digits"), F.col("word_chars")),
         "mark_share": _ratio(F.col("n_marks"), w),
-        "pipe_share": _ratio(F.col("n_pipes"), w),
         "distinct_share": _ratio(F.col("n_distinct_words"), w),
         "words_a_line": _ratio(w, F.col("n_lines")),
     }
@@ -225,7 +223,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[Ru
     y = sample.select(F.col("doc_id").alias("_id"), "y").dropDuplicates(["_id"])
     f = features()
     rows = (
-        text_stats(sample.dropDuplicates(["doc_id"]))
+        text_stats(sample.groupBy("doc_id").agg(F.min("text").alias("text")))  # one of rows that share an id
         .join(F.broadcast(y), F.col("doc_id") == F.col("_id"))
         .select("doc_id", "y", *[c.alias(n) for n, c in f.items()])
         .toPandas()
