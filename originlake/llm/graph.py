@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from originlake.llm.text import cut
+from originlake.llm.text import cut, drop
 
 
 def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("s")).first()
-    return r["n"], r["s"]
+    """Of distinct edges: their number and sums of both columns and of 64-bit hashes, all exact."""
+    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count(F.lit(1)), exact(F.col("a")), exact(F.col("b")), exact(h), exact(F.xxhash64(h))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while (state := _state(now)) != last:
-        last = state
+        last, before = state, now
         if state[0] == 0:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -34,6 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         ).distinct())
+        drop(before, least, large, down)
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return cut(pairs.unionByName(roots))
+    out = cut(pairs.unionByName(roots))
+    drop(now)
+    return out

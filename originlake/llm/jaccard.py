@@ -19,6 +19,7 @@ pair, in blocks where the sketch knows them to be large.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from originlake.llm.graph import components
-from originlake.llm.text import cut, lower_ascii, mix, prefix_hash, span_hash, text_buffers, window_hash, words_of
+from originlake.llm.text import cut, drop, mix, text_buffers, window_hash, word_hashes
 
 WORDS = 5
 #: Similarity as a fraction: links have NUM * union <= DEN * intersection.
@@ -48,9 +49,7 @@ CHUNK = 1 << 18
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; shorter texts have one for all their words, empty ones none."""
-    low = lower_ascii(data)
-    s, e, first = words_of(low, offsets)
-    wh = span_hash(prefix_hash(low), s, e)
+    wh, first = word_hashes(data, offsets)
     sh = window_hash(wh, WORDS)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -70,8 +69,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def bitmap(v: np.ndarray) -> bytes:
     """Parity bitmap: as many bits as the next power of two from the set's size, 64 at least."""
     bits = max(64, 1 << int(len(v) - 1).bit_length()) if len(v) else 64
-    odd = (np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").tobytes()
+    return _parity(v, bits).tobytes()
+
+
+def _parity(v: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((v & np.uint64(bits - 1)).view(np.int64), minlength=bits)
+    return np.packbits((odd & 1).astype(np.uint8), bitorder="little")
 
 
 def flipped(x: np.ndarray, y: np.ndarray) -> int:
@@ -326,8 +329,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wide(v: np.ndarray) -> np.ndarray:
     """A bitmap of about eight bits for each member."""
     bits = 64 << max(0, int(8 * len(v) - 1).bit_length() - 6)
-    odd = (np.bincount((v & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.uint64)
+    return _parity(v, bits).view(np.uint64)
 
 
 def group_links(sketch: Sketch, docs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -457,7 +459,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _large_links(plain: DataFrame, member: DataFrame, shared: DataFrame, stars: DataFrame, rep_of: DataFrame, large: DataFrame) -> DataFrame:
     """Links within candidate groups too large for a task."""
     best = stars.join(large, F.col("doc") == F.col("node")).groupBy("doc").agg(F.max(F.struct("k", "center"))["center"].alias("b"))
-    links = cut(verified(plain, cut(best.select(F.col("doc").alias("a"), "b"))))
+    pairs = cut(best.select(F.col("doc").alias("a"), "b"))
+    links = cut(verified(plain, pairs))
     labels = components(links)
     copies = rep_of.join(large, F.col("rep") == F.col("node")).select("doc")
     asked = cut(large.select(F.col("node").alias("doc")).unionByName(copies).distinct())
@@ -485,7 +488,9 @@ def _large_links(plain: DataFrame, member: DataFrame, shared: DataFrame, stars:
         dealt.repartition("tile").sortWithinPartitions("tile", F.shiftright("at", 32), "doc")
         .mapInArrow(_cross, "a bigint, b bigint").distinct()
     )
-    return cut(links.unionByName(verified(plain, more)))
+    out = cut(links.unionByName(verified(plain, more)))
+    drop(pairs, links, labels, asked, node, mixed, more)
+    return out
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -542,20 +547,22 @@ def near_duplicates(
     stars = _as_reps(_as_reps(shared.where("doc <> center").groupBy("doc", "center").agg(F.count(F.lit(1)).alias("k")), rep_of, "doc"), rep_of, "center")
     stars = cut(stars.where("doc <> center"))
     across = _as_reps(_as_reps(_across(shared.where(blocks > 1)), rep_of, "a"), rep_of, "b")
-    group = components(stars.select(F.col("doc").alias("a"), F.col("center").alias("b")).unionByName(across))
+    of = components(stars.select(F.col("doc").alias("a"), F.col("center").alias("b")).unionByName(across))
     size = member.where("doc = rep").select(F.col("doc").alias("node"), "n").dropDuplicates(["node"])
-    sizes = cut(group.join(size, "node").groupBy("label").agg(F.sum("n").alias("n")).withColumn("large", F.col("n") > large).drop("n"))
-    group = cut(group.join(sizes, "label"))
+    sizes = cut(of.join(size, "node").groupBy("label").agg(F.sum("n").alias("n")).withColumn("large", F.col("n") > large).drop("n"))
+    group = cut(of.join(sizes, "label"))
     small = cut(group.where("not large").select(F.col("node").alias("_id"), "label"))
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    links = cut(
+    found = cut(
         (plain.join(F.broadcast(small), "_id") if few else _keep_needed(plain, _needed(small, "_id")).join(small, "_id")).select("label", "_id", "text")
         .repartition("label").sortWithinPartitions("label", "_id").mapInArrow(grouped(sketch), "a bigint, b bigint")
         .unionByName(edges)
     )
+    links = [found]
     if group.where("large").limit(1).count():
-        links = links.unionByName(_large_links(plain, member, shared, stars, rep_of, group.where("large").select("node")))
-    labels = components(links)
+        links.append(_large_links(plain, member, shared, stars, rep_of, group.where("large").select("node")))
+    labels = components(functools.reduce(DataFrame.unionByName, links))
+    drop(first, same, twice, shared, rep_of, stars, of, sizes, group, small, *links)
     out = member.select("doc", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     real = lambda c: F.when(c != F.lit(NO_ID), c)
     return out.select(

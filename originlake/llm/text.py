@@ -16,11 +16,17 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset a temporary one is set, but only if driver and executors are one process: on a cluster its files
+    would lie on several machines, and reads would miss some without a word.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,7 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: later stages start from the files, whatever executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffers(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -143,12 +159,51 @@ def span_hash(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((c[b] - c[a]) * powers(len(c), True)[a])
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, A-Z lower-cased, and each text's first word (and the end).
+
+    A long text is read in segments, so beside the hashes it takes a bounded amount of memory, however long its words are.
+    """
+    if len(data) <= CHUNK_BYTES:
+        low = lower_ascii(data)
+        s, e, first = words_of(low, offsets)
+        return span_hash(prefix_hash(low), s, e), first
+    texts = [_long_words(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    out = []
+    part, size = np.zeros(1, np.uint64), 0  # of the word that the last segment ends in: its sum and length so far
+    for x in range(0, len(data), CHUNK_BYTES):
+        low = lower_ascii(data[x : x + CHUNK_BYTES])
+        s, e, _ = words_of(low, np.array([0, len(low)]))
+        c = prefix_hash(low)
+        sums = (c[e] - c[s]) * powers(len(c), True)[s]
+        if size and len(s) and s[0] == 0:
+            sums[:1] = part + sums[:1] * np.uint64(pow(_BASE, size, 1 << 64))
+            size += int(e[0])
+        elif size:
+            sums = np.concatenate([part, sums])
+            size = 0
+        if len(s) and e[-1] == len(low):
+            part, sums = sums[-1:].copy(), sums[:-1]
+            size = size if len(s) == 1 and s[0] == 0 and size else int(e[-1] - s[-1])
+        else:
+            size = 0
+        out.append(mix(sums))
+    return np.concatenate([np.zeros(0, np.uint64), *out, *([mix(part)] if size else [])])
+
+
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k neighbouring values, one for each start (len(h) - k + 1 of them)."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out += mix(h[j : j + n] + np.uint64(j * 0x632BE59BD9B4E019 % (1 << 64)))
-    return mix(out)
+    for a in range(0, n, CHUNK_BYTES):
+        part = out[a : a + CHUNK_BYTES]
+        for j in range(k):
+            part += mix(h[a + j : a + j + len(part)] + np.uint64(j * 0x632BE59BD9B4E019 % (1 << 64)))
+        part[:] = mix(part)
+    return out
