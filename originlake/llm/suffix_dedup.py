@@ -40,7 +40,7 @@ HOT = 20_000
 #: Window starts that one suffix array covers, about.
 SORTED = 50_000
 #: Bytes of text that one parse covers, about: its arrays take some 150 times as much.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def _i64(x: np.ndarray) -> pa.Array:
