@@ -5,12 +5,15 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import threading
+import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from originlake.functions.dates import strict_date
+from originlake.model import OBS_SCHEMA
 from originlake.operators import history as H
 from originlake.operators import query as Q
 from originlake.sources import dumps, jsonl, store
@@ -34,12 +37,17 @@ def text_table(rows: DataFrame) -> str:
     return "\n".join(table_lines(rows))
 
 
+def _observations(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Good rows of listed dumps: only these files are opened."""
+    paths = [r[0] for r in files.select("url").collect()]  # names, five a day
+    if paths:
+        return dumps.good_rows(dumps.parse_dumps(spark, paths))
+    return updater.observations_from_rows(spark.createDataFrame([], OBS_SCHEMA))
+
+
 def rebuild(spark: SparkSession, path: str, base: str, tal: str | None = None, since=None, until=None) -> str:
     """Bulk load of a dump tree. Gap filling is not part of it: run ``fix`` on the transport, or the updater."""
-    files = dumps.list_dumps(spark, base, tal, since, until).select("url")
-    parsed = dumps.parse_dumps(spark, base)
-    good = dumps.good_rows(parsed.join(files.withColumnRenamed("url", "path"), "path", "left_semi"))
-    return store.publish(H.build_history(good), path)
+    return store.publish(H.build_history(_observations(spark, dumps.list_dumps(spark, base, tal, since, until))), path)
 
 
 def update(spark: SparkSession, path: str, base: str, tal: str | None = None, until=None) -> str:
@@ -47,19 +55,18 @@ def update(spark: SparkSession, path: str, base: str, tal: str | None = None, un
     if not store.exists(spark, f"{path}/CURRENT"):
         return rebuild(spark, path, base, tal, None, until)
     old = store.open_store(spark, path)
-    files = dumps.list_dumps(spark, base, tal, None, until).where(F.col("file_date") > F.lit(Q.latest_of(old)))
-    parsed = dumps.parse_dumps(spark, base).join(files.select(F.col("url").alias("path")), "path", "left_semi")
-    return store.publish(updater.update_history(old, dumps.good_rows(parsed), fill=False), path)
+    files = dumps.list_dumps(spark, base, tal, None, until).where(F.col("file_date") > F.lit(store.store_meta(spark, path)["latest_date"]))
+    return store.publish(updater.update_history(old, _observations(spark, files), fill=False), path)
 
 
 def fix(spark: SparkSession, source: str, target: str | None = None) -> str:
-    """Compress and gap-fill a transport; in place by writing beside it and renaming."""
+    """Compress and gap-fill a transport; in place by writing beside it and renaming, so that it is never missing."""
     out = target or f"{source}.fixed"
+    if target is None and not store.exists(spark, source) and store.exists(spark, f"{source}.old"):
+        store.replace(spark, f"{source}.old", source)  # of a run that was cut short
     jsonl.export_jsonl(H.fix_history(jsonl.read_jsonl(spark, source)), out)
     if target is None:
-        fs, path_of = store._fs(spark, source)
-        fs.delete(path_of(source), True)
-        fs.rename(path_of(out), path_of(source))
+        store.replace(spark, out, source)
     return target or source
 
 
@@ -101,11 +108,17 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--port", type=int, default=40065)
     v.add_argument("--base", help="dump tree to watch")
     v.add_argument("--checkpoint")
-    v.add_argument("--backup-to", default=os.environ.get("ORIGINLAKE_BACKUP_TO"))
+    v.add_argument("--root", default="/", help="path under which the routes stand")
+    v.add_argument("--backup-to", help="transport to write after each update; ORIGINLAKE_BACKUP_TO")
+    v.add_argument("--heartbeat", help="address to get after each backup; ORIGINLAKE_HEARTBEAT")
     v.add_argument("--update-interval", type=int, default=28_800)
     return p
 
 
+def _beat(address: str | None):
+    return None if address is None else lambda: urllib.request.urlopen(address, timeout=30).close()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     if a.env:
@@ -135,9 +148,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             from originlake.http_api import serve
 
             if a.base:
-                every = f"{a.update_interval} seconds"
-                updater.start(spark, a.base, a.path, a.checkpoint or f"{a.path}/_checkpoint", every, a.backup_to)
-            serve(spark, a.path, a.host, a.port)
+                options = {
+                    "backup_to": a.backup_to or os.environ.get("ORIGINLAKE_BACKUP_TO"),
+                    "heartbeat": _beat(a.heartbeat or os.environ.get("ORIGINLAKE_HEARTBEAT")),
+                }
+                args = (threading.Event(), a.update_interval, spark, a.base, a.path, a.checkpoint or f"{a.path}/_checkpoint")
+                threading.Thread(target=updater.watch, args=args, kwargs=options, daemon=True).start()
+            serve(spark, a.path, a.host, a.port, a.root)
     return 0
 
 

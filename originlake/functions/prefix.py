@@ -66,6 +66,25 @@ def v4_key(addr: Column, plen: Column) -> list[Column]:
     ]
 
 
+def v6_key(top: Column, plen: Column) -> list[Column]:
+    """fam, plen, lo, hi of an IPv6 prefix of 11 to 64 bits whose address's upper half is a positive BIGINT."""
+    block = F.pow(F.lit(2), 64 - plen).cast("bigint")
+    lo = top - top % block
+    half = lambda c: F.lpad(F.hex(c), 16, "0")
+    return [
+        F.lit(6).cast("tinyint").alias("fam"),
+        plen.cast("smallint").alias("plen"),
+        F.unhex(F.concat(half(lo), F.lit("0" * 16))).alias("lo"),
+        F.unhex(F.concat(half(lo + block - 1), F.lit("F" * 16))).alias("hi"),
+    ]
+
+
+def v6_text(lo: Column, plen: Column) -> Column:
+    """All eight groups of a 16-byte BINARY address and a length; not the canonical short form."""
+    h = F.lower(F.hex(lo))
+    return F.concat(F.concat_ws(":", *[F.substring(h, i, 4) for i in range(1, 32, 4)]), F.lit("/"), plen.cast("string"))
+
+
 def v4_text(lo: Column, plen: Column) -> Column:
     """Dotted form of a 4-byte BINARY address and a length."""
     h = F.hex(lo)
@@ -78,6 +97,11 @@ def v4_number(lo: Column) -> Column:
     return F.conv(F.hex(lo), 16, 10).cast("bigint")
 
 
+def address_number(lo: Column) -> Column:
+    """An IPv4 address, or the upper half of an IPv6 address, as BIGINT."""
+    return F.conv(F.substring(F.hex(lo), 1, 16), 16, 10).cast("bigint")
+
+
 def masked(lo: Column, length: Column) -> Column:
     """``lo`` with all bits after the first ``length`` cleared, nibble by nibble on the hex form."""
     h = F.hex(lo)

@@ -41,13 +41,16 @@ def answer(history, route: str, args: dict[str, str]) -> tuple[int, dict]:
     return 404, {"error": "not found"}
 
 
-def handler(spark: SparkSession, path: str) -> type[BaseHTTPRequestHandler]:
+def handler(spark: SparkSession, path: str, root: str = "/") -> type[BaseHTTPRequestHandler]:
+    under = root.rstrip("/")
+
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:
             url = urlsplit(self.path)
             args = {k: v[-1] for k, v in parse_qs(url.query).items()}
             # each request opens the current snapshot, so an update shows without a restart
-            status, body = answer(open_store(spark, path), url.path, args)
+            route = url.path.removeprefix(under) if url.path.startswith(f"{under}/") else ""
+            status, body = answer(open_store(spark, path), route, args)
             raw = json.dumps(body).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
@@ -65,5 +68,5 @@ def handler(spark: SparkSession, path: str) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(spark: SparkSession, path: str, host: str, port: int) -> None:
-    ThreadingHTTPServer((host, port), handler(spark, path)).serve_forever()
+def serve(spark: SparkSession, path: str, host: str, port: int, root: str = "/") -> None:
+    ThreadingHTTPServer((host, port), handler(spark, path, root)).serve_forever()

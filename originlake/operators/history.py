@@ -197,6 +197,27 @@ def counts(history: DataFrame) -> DataFrame:
     )
 
 
+def prefix_count(history: DataFrame) -> int:
+    """The store's size: its distinct prefixes."""
+    return history.select("fam", "plen", "lo").distinct().count()
+
+
+def is_empty(history: DataFrame) -> bool:
+    return history.isEmpty()
+
+
+def insert_records(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """History with further rows; ranges of a key that both have are united."""
+    cols = ["prefix", "fam", "plen", "lo", "hi", "max_len", "origin", "ranges"]
+    return merge_history(history.select(cols).unionByName(rows.select(cols)))
+
+
+def replace_records(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """History in which rows take the place of those with the same key."""
+    cols = ["prefix", "fam", "plen", "lo", "hi", "max_len", "origin", "ranges"]
+    return history.join(rows.select(*KEY), KEY, "left_anti").select(cols).unionByName(rows.select(cols))
+
+
 def active_on(day: Column | str) -> Column:
     """Whether any range of the row covers the day, both ends included."""
     d = F.lit(day).cast("date") if not isinstance(day, Column) else day

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from originlake import model
 from originlake.functions.dates import date_to_epoch, epoch_to_date, in_bounds
-from originlake.functions.prefix import strip_as, v4_number, v4_text, with_prefix_key
+from originlake.functions.prefix import address_number, strip_as, v4_text, with_prefix_key
 from originlake.operators import history as H
 from originlake.operators import index as I
 from originlake.operators import query as Q
-from originlake.plans.recipe import SQL_OBS, announcements, flat, history, observations, plain, sql_gaps
+from originlake.plans.recipe import SQL_OBS, announcements, flat, history, latest, observations, plain, scratch, sql_gaps, sql_obs
+from originlake.sources import dumps, jsonl, store
 from originlake.sources.jsonl import jsonl_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 HIST = SQL_OBS + sql_gaps(model.KNOWN_GAPS)
+SQL6_OBS = sql_obs(6)
+HIST6 = SQL6_OBS + sql_gaps(model.KNOWN_GAPS, 6)
 COLS = "lo, plen, max_len, origin"
 FLAT = f"{COLS}, s AS range_start, e AS range_end"
 
@@ -119,7 +122,12 @@ def _(spark, d):
 
 @query(
     "rebuild_merge",
-    SQL_OBS + f"SELECT {FLAT} FROM isl",
+    SQL_OBS
+    + """, odd AS (SELECT * FROM days WHERE day(day) % 2 = 1), rest AS (SELECT * FROM days WHERE day(day) % 2 = 0),
+    every AS (SELECT * FROM odd UNION SELECT * FROM rest),
+    step AS (SELECT *, CASE WHEN lag(day) OVER k = day - 1 THEN 0 ELSE 1 END AS n FROM every WINDOW k AS (PARTITION BY lo, plen, max_len, origin ORDER BY day)),
+    run AS (SELECT *, sum(n) OVER (PARTITION BY lo, plen, max_len, origin ORDER BY day) AS r FROM step)
+    SELECT lo, plen, max_len, origin, min(day) AS range_start, max(day) AS range_end FROM run GROUP BY lo, plen, max_len, origin, r""",
 )
 def _(spark, d):
     o = observations(spark, d)
@@ -127,7 +135,15 @@ def _(spark, d):
     return _bounds(H.rebuild_merge(H.date_islands(o.where(odd)), o.where(~odd)))
 
 
-@query("merge_duplicates", SQL_OBS + f"SELECT {FLAT} FROM isl")
+@query(
+    "merge_duplicates",
+    SQL_OBS
+    + """, parts AS (SELECT lo, plen, max_len, origin, s, e FROM isl UNION ALL SELECT lo, plen, max_len, origin, s, e FROM isl
+      UNION ALL SELECT lo, plen, max_len, origin, s, greatest(s, e - 1) FROM isl),
+    reach AS (SELECT *, max(e) OVER (PARTITION BY lo, plen, max_len, origin ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM parts),
+    run AS (SELECT *, sum(CASE WHEN far IS NULL OR s > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY lo, plen, max_len, origin ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS r FROM reach)
+    SELECT lo, plen, max_len, origin, min(s) AS range_start, max(e) AS range_end FROM run GROUP BY lo, plen, max_len, origin, r""",
+)
 def _(spark, d):
     """Overlapping and repeated ranges of one key, as duplicate transport records hold them, united."""
     isl = H.date_islands(observations(spark, d))
@@ -148,6 +164,21 @@ def _(spark, d):
     return _bounds(H.split_ranges(isl.unionByName(isl.where("origin = 64512"))))
 
 
+#: Gap filling told by days: those of a listed gap join a key's days where the days before and after it are there.
+FILLED = (
+    SQL_OBS
+    + ", gaps(gs, ge) AS (VALUES " + ", ".join(f"(DATE '{a}', DATE '{b}')" for a, b in model.KNOWN_GAPS) + "),"
+    + """next AS (SELECT *, lead(day) OVER (PARTITION BY lo, plen, max_len, origin ORDER BY day) AS then FROM days),
+    more AS (SELECT n.lo, n.plen, n.max_len, n.origin, CAST(unnest(generate_series(g.gs, g.ge, INTERVAL 1 DAY)) AS DATE) AS day
+      FROM next n JOIN gaps g ON g.gs = n.day + 1 AND g.ge = n.then - 1),
+    every AS (SELECT lo, plen, max_len, origin, day FROM days UNION SELECT * FROM more),
+    step AS (SELECT *, CASE WHEN lag(day) OVER k = day - 1 THEN 0 ELSE 1 END AS n FROM every WINDOW k AS (PARTITION BY lo, plen, max_len, origin ORDER BY day)),
+    run AS (SELECT *, sum(n) OVER (PARTITION BY lo, plen, max_len, origin ORDER BY day) AS r FROM step),
+    filled AS (SELECT lo, plen, max_len, origin, min(day) AS s, max(day) AS e FROM run GROUP BY lo, plen, max_len, origin, r)
+    """
+)
+
+
 @query("latest_date", SQL_OBS + "SELECT max(day) AS latest_date FROM days")
 def _(spark, d):
     return H.latest_date(history(spark, d))
@@ -166,7 +197,8 @@ def _(spark, d):
 def _search(name: str, where: str, **filters) -> None:
     keys = f"SELECT lo, plen, max_len, origin FROM hist, top GROUP BY lo, plen, max_len, origin HAVING {where}"
     sql = HIST + f"SELECT {FLAT} FROM hist WHERE (lo, plen, max_len, origin) IN ({keys})"
-    query(name, sql)(lambda spark, d: flat(Q.search(history(spark, d), **filters)))
+    day = (lambda spark, d: {"latest": latest(spark, d)}) if "current" in filters else lambda spark, d: {}
+    query(name, sql)(lambda spark, d: flat(Q.search(history(spark, d), **filters, **day(spark, d))))
 
 
 _search("search_all", "true")
@@ -239,7 +271,7 @@ def _(spark, d):
     return jsonl_lines(history(spark, d))
 
 
-@query("fix_transport", HIST + f"SELECT {FLAT} FROM hist")
+@query("fix_transport", FILLED + f"SELECT {FLAT} FROM filled")
 def _(spark, d):
     return flat(H.fix_history(H.build_history(observations(spark, d))))
 
@@ -248,9 +280,9 @@ def _(spark, d):
 def _(spark, d):
     r = I.prefix_roots(history(spark, d))
     return r.select(
-        v4_number(F.col("lo")).alias("lo"),
+        address_number(F.col("lo")).alias("lo"),
         F.col("plen").cast("int").alias("plen"),
-        v4_number(F.col("root_lo")).alias("root_lo"),
+        address_number(F.col("root_lo")).alias("root_lo"),
         F.col("root_plen").cast("int").alias("root_plen"),
     )
 
@@ -262,7 +294,7 @@ def _(spark, d):
 def _(spark, d):
     stored = history(spark, d).select("fam", "plen", "lo", "root").distinct()
     m = I.subtree_match(announcements(spark, d), stored)
-    return m.select("qid", v4_number(F.col("lo")).alias("lo"), F.col("plen").cast("int").alias("plen"))
+    return m.select("qid", address_number(F.col("lo")).alias("lo"), F.col("plen").cast("int").alias("plen"))
 
 
 @query(
@@ -272,7 +304,7 @@ def _(spark, d):
 def _(spark, d):
     stored = history(spark, d).select("fam", "plen", "lo", "root").distinct()
     m = I.related_match(announcements(spark, d), stored)
-    return m.select("qid", v4_number(F.col("lo")).alias("lo"), F.col("plen").cast("int").alias("plen"))
+    return m.select("qid", address_number(F.col("lo")).alias("lo"), F.col("plen").cast("int").alias("plen"))
 
 
 _VALIDATE = """SELECT a.qid, a.qasn AS asn, CASE WHEN v.qid IS NOT NULL THEN 'valid' WHEN c.qid IS NOT NULL THEN 'invalid' ELSE 'unknown' END AS result
@@ -315,8 +347,8 @@ def _(spark, d):
         "prefix",
         F.col("fam").cast("int").alias("fam"),
         F.col("plen").cast("int").alias("plen"),
-        v4_number(F.col("lo")).alias("lo"),
-        v4_number(F.col("hi")).alias("hi"),
+        address_number(F.col("lo")).alias("lo"),
+        address_number(F.col("hi")).alias("hi"),
     )
 
 
@@ -326,6 +358,147 @@ def _(spark, d):
     return e.withColumn("day", epoch_to_date(F.col("epoch")))
 
 
+# Both families, and IPv6 by itself; its addresses are given by their upper halves.
+
+
+@query("obs6_islands", SQL6_OBS + f"SELECT {FLAT} FROM isl")
+def _(spark, d):
+    return _bounds(H.date_islands(observations(spark, d, 6)))
+
+
+def _search6(name: str, where: str, **filters) -> None:
+    keys = f"SELECT lo, plen, max_len, origin FROM hist, top GROUP BY lo, plen, max_len, origin HAVING {where}"
+    sql = HIST6 + f"SELECT {FLAT} FROM hist WHERE (lo, plen, max_len, origin) IN ({keys})"
+    query(name, sql)(lambda spark, d: flat(Q.search(history(spark, d, 6), **filters)))
+
+
+_FIRST6 = int("20010db000000000", 16)
+_search6("search6_all", "true")
+_search6("search6_exact", f"lo = {int("20010d0000000000", 16)} AND plen = 24", prefix="2001:d00::/24")
+_search6("search6_on_date", "bool_or(s <= DATE '2021-08-07' AND e >= DATE '2021-08-07')", date="2021-08-07")
+_search6(
+    "search6_subtree",
+    f"(lo, plen) IN (SELECT w.lo, w.plen FROM rooted w JOIN rooted v USING (r_lo, r_plen) WHERE v.lo <= {_FIRST6 + (1 << 36)} AND v.lo + (CAST(1 AS BIGINT) << (64 - v.plen)) > {_FIRST6 + (1 << 36)} AND v.plen <= 48)",
+    prefix="2001:db0:10::/48",
+    exact=False,
+)
+
+
+@query("prefix_roots6", HIST6 + "SELECT lo, plen, r_lo AS root_lo, CAST(r_plen AS INTEGER) AS root_plen FROM rooted")
+def _(spark, d):
+    r = I.prefix_roots(history(spark, d, 6))
+    return r.select(
+        address_number(F.col("lo")).alias("lo"),
+        F.col("plen").cast("int").alias("plen"),
+        address_number(F.col("root_lo")).alias("root_lo"),
+        F.col("root_plen").cast("int").alias("root_plen"),
+    )
+
+
+@query("subtree_match6", HIST6 + "SELECT c.qid, w.lo, w.plen FROM cover c JOIN rooted w ON w.r_lo = c.r_lo AND w.r_plen = c.r_plen")
+def _(spark, d):
+    stored = history(spark, d, 6).select("fam", "plen", "lo", "root").distinct()
+    m = I.subtree_match(announcements(spark, d, 6), stored)
+    return m.select("qid", address_number(F.col("lo")).alias("lo"), F.col("plen").cast("int").alias("plen"))
+
+
+@query("validate6_bulk", HIST6 + _VALIDATE.format(day="2021-08-15"))
+def _(spark, d):
+    return Q.validate_bulk(announcements(spark, d, 6), history(spark, d, 6)).select("qid", "asn", "result")
+
+
+_BOTH = "SELECT {x} FROM (" + SQL_OBS + "SELECT {y} FROM days) UNION ALL SELECT {z} FROM (" + SQL6_OBS + "SELECT {y} FROM days)"
+
+
+@query(
+    "counts_both_families",
+    _BOTH.format(
+        x="CAST(4 AS INTEGER) AS fam, prefixes, records",
+        y="count(DISTINCT (lo, plen)) AS prefixes, count(DISTINCT (lo, plen, max_len, origin)) AS records",
+        z="CAST(6 AS INTEGER), prefixes, records",
+    ),
+)
+def _(spark, d):
+    both = history(spark, d).unionByName(history(spark, d, 6))
+    return H.counts(both).select(F.col("fam").cast("int").alias("fam"), "prefixes", "records")
+
+
+@query(
+    "validate_mixed",
+    f"SELECT qid, asn, result FROM ({HIST + _VALIDATE.format(day='2021-08-15')}) UNION ALL SELECT -qid, asn, result FROM ({HIST6 + _VALIDATE.format(day='2021-08-15')})",
+)
+def _(spark, d):
+    """Announcements of both families against one store of both."""
+    asked = announcements(spark, d).unionByName(announcements(spark, d, 6).withColumn("qid", -F.col("qid")))
+    return Q.validate_bulk(asked, history(spark, d).unionByName(history(spark, d, 6))).select("qid", "asn", "result")
+
+
+# Import, dumps and the store: what is written is read back.
+
+
+@query("jsonl_roundtrip", FILLED + f"SELECT {FLAT} FROM filled")
+def _(spark, d):
+    """History written as compressed transport and read again."""
+    path = scratch(spark)
+    jsonl.export_jsonl(history(spark, d), path)
+    return flat(jsonl.read_jsonl(spark, path))
+
+
+@query(
+    "jsonl_import",
+    FILLED + """, r AS (SELECT lo, plen, max_len, origin, s, e FROM filled)
+    SELECT lo, plen, max_len, origin, s AS range_start, e AS range_end FROM r
+    UNION ALL SELECT DISTINCT lo, plen, max_len, CAST(0 AS BIGINT), CAST(NULL AS DATE), CAST(NULL AS DATE) FROM r WHERE origin = 64513""",
+)
+def _(spark, d):
+    """Transport with blank lines, repeated and overlapping records, and records without ranges."""
+    path = scratch(spark)
+    lines = jsonl.jsonl_lines(history(spark, d))
+    none = jsonl.jsonl_lines(history(spark, d).where("origin = 64513").withColumn("origin", F.lit(0).cast("bigint")).withColumn("ranges", F.expr("filter(ranges, r -> false)")))
+    lines.unionByName(lines.where("value like '%\"o\":64512%'")).unionByName(none).select(F.explode(F.array("value", F.lit("  "))).alias("value")).write.text(path)
+    rows = jsonl.read_jsonl(spark, path)
+    bare = rows.where(F.size("ranges") == 0).select(*plain(), F.lit(None).cast("date").alias("range_start"), F.lit(None).cast("date").alias("range_end"))
+    return flat(rows).unionByName(bare)
+
+
+def _files(spark, d):
+    """A dump file for each trust anchor and day, those of the 13th with a bad line."""
+    o = observations(spark, d)
+    lines = o.select("tal", "date", F.concat_ws(",", F.lit("rsync://x"), F.concat(F.lit("AS"), "asn"), "prefix", "max_len", F.lit("y")).alias("line"))
+    bad = lines.where("day(date) = 13").select("tal", "date", F.lit("rsync://x,ASx,1.0.0.0/8,8,y").alias("line"))
+    files = lines.unionByName(bad).groupBy("tal", "date").agg(F.concat_ws("\n", F.lit("URI,ASN,IP Prefix,Max Length,Not Before"), F.collect_list("line")).alias("text"))
+    path = F.concat(F.lit("s/"), "tal", F.lit(".tal/"), F.date_format("date", "yyyy/MM/dd"), F.lit("/roas.csv"))
+    return files.select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query("dump_parse", SQL_OBS + f"SELECT tal, {COLS}, date FROM obs WHERE day(date) <> 13")
+def _(spark, d):
+    rows = dumps.good_rows(dumps.parse_contents(_files(spark, d)))
+    return rows.withColumnRenamed("asn", "origin").select("tal", *plain(), "date")
+
+
+@query("dump_errors", SQL_OBS + "SELECT DISTINCT tal, date, 'bad asn' AS error FROM obs WHERE day(date) = 13")
+def _(spark, d):
+    return dumps.parse_contents(_files(spark, d)).where("error is not null").select("tal", "date", "error").distinct()
+
+
+@query("store_meta", "SELECT CAST(2 AS INTEGER) AS format_version, (SELECT max(latest) FROM (" + HIST + "SELECT latest FROM top)) AS latest_date, v4_prefixes, v4_records FROM ("
+       + SQL_OBS + "SELECT count(DISTINCT (lo, plen)) AS v4_prefixes, count(DISTINCT (lo, plen, max_len, origin)) AS v4_records FROM days)")
+def _(spark, d):
+    """A second snapshot of the store, opened by its pointer."""
+    path = scratch(spark)
+    store.publish(history(spark, d).where("origin = 64512"), path)
+    store.publish(history(spark, d), path)
+    meta = store.store_meta(spark, path)
+    return spark.createDataFrame([tuple(meta[k] for k in ("format_version", "latest_date", "v4_prefixes", "v4_records"))], "format_version int, latest_date date, v4_prefixes bigint, v4_records bigint")
+
+
+@query("insert_records", HIST + f"SELECT {FLAT} FROM hist UNION ALL SELECT lo, plen, max_len, CAST(1 AS BIGINT), s, e FROM hist WHERE origin = 64514")
+def _(spark, d):
+    h = history(spark, d)
+    return flat(H.insert_records(h, h.where("origin >= 64514").withColumn("origin", F.when(F.col("origin") == 64514, F.lit(1).cast("bigint")).otherwise(F.col("origin")))))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Current records of one origin, first page: dedup, compression, gap filling, filters, order, paging."""
     return Q.page(Q.search(history(spark, d), asn=64512, current=True)).select("prefix", *plain())

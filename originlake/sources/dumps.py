@@ -89,13 +89,12 @@ def parse_dumps(spark: SparkSession, paths: list[str] | str, glob: str = "roas.c
     distinct within a file; an empty or header-only file has no rows; a file that
     cannot be read, or has data before its header, gives a single row with the error.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(paths)
-        .select("path", "content")
-    )
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return parse_contents(reader.load(paths).select("path", "content"))
+
+
+def parse_contents(files: DataFrame) -> DataFrame:
+    """``parse_dumps`` of rows (path, content)."""
     raw = files.mapInArrow(_split_files, "path string, f1 string, f2 string, f3 string, error string")
     rows = with_prefix_key(raw.withColumn("prefix", F.col("f2")))
     max_len = F.coalesce(F.trim("f3").try_cast("int"), F.col("plen").cast("int"))
@@ -121,7 +120,8 @@ def parse_dumps(spark: SparkSession, paths: list[str] | str, glob: str = "roas.c
     ).dropDuplicates(["path", "prefix", "max_len", "asn", "error"])
 
 
-def good_rows(parsed: DataFrame) -> DataFrame:
+def good_rows(parsed: DataFrame, keep_path: bool = False) -> DataFrame:
     """Rows of files without any problem: a file with one bad row is left out whole, as a failed file."""
     failed = parsed.where("error is not null").select("path").distinct()
-    return parsed.join(failed, "path", "left_anti").drop("path", "error")
+    good = parsed.join(failed, "path", "left_anti").drop("error")
+    return good if keep_path else good.drop("path")

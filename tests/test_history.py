@@ -290,3 +290,105 @@ def test_dumps_updates_and_http(spark, tmp_path):
     assert get("/validate?prefix=1.1.1.0/24&asn=13335&date=2021-03-05")[1]["result"] == "valid"
     assert get("/search?prefix=oops") == (400, {"error": "invalid prefix"}) and get("/validate?asn=1")[0] == 400 and get("/x")[0] == 404
     server.shutdown()
+
+
+def test_failed_files_come_back_and_updates_go_on(spark, tmp_path, monkeypatch, caplog):
+    base, path = tmp_path / "rpki", str(tmp_path / "s")
+    run = lambda: updater.start(spark, str(base), path, str(tmp_path / "ck")).awaitTermination()
+    dump(base, "apnic", "2021-03-05", ("1.0.0.0/8", "AS1", 8))
+    dump(base, "apnic", "2021-03-06", ("1.0.0.0/8", "ASx", 8))
+    dump(base, "apnic", "2021-03-07", ("1.0.0.0/8", "AS1", 8))
+    run()
+    ranges = lambda: [[(str(x["start"]), str(x["end"])) for x in r["ranges"]] for r in store.open_store(spark, path).collect()]
+    assert ranges() == [[("2021-03-05", "2021-03-05"), ("2021-03-07", "2021-03-07")]]
+    assert [p.split("/")[-2] for p in updater.failed_files(spark, path)] == ["06"]
+    run()  # still bad: nothing changes
+    assert len(ranges()[0]) == 2 and len(updater.failed_files(spark, path)) == 1
+    bad = base / "apnic.tal/2021/03/06/roas.csv.xz"
+    bad.write_bytes(lzma.compress(b"URI,ASN,IP Prefix,Max Length,Not Before\nrsync://x,AS1,1.0.0.0/8,8,y\n"))
+    run()
+    assert ranges() == [[("2021-03-05", "2021-03-07")]] and updater.failed_files(spark, path) == []
+    # an error while a batch is applied neither ends the stream nor loses the files
+    dump(base, "apnic", "2021-03-08", ("1.0.0.0/8", "AS1", 8))
+    real = updater.publish
+    monkeypatch.setattr(updater, "publish", lambda *_: 1 / 0)
+    run()
+    assert len(updater.failed_files(spark, path)) == 1 and "tried again" in caplog.text
+    monkeypatch.setattr(updater, "publish", real)
+    run()
+    assert ranges() == [[("2021-03-05", "2021-03-08")]] and not list((tmp_path / "s" / "_staging").glob("*"))
+    assert len(list((tmp_path / "s").glob("v=*"))) <= 3
+
+
+def test_a_stream_that_ends_starts_again(spark, monkeypatch):
+    stop, made = threading.Event(), []
+
+    class Query:
+        isActive = False
+
+        def exception(self):
+            return "gone"
+
+        def stop(self):
+            pass
+
+    def start(*args, **options):
+        made.append(args)
+        if len(made) == 2:
+            raise OSError("not now")
+        if len(made) == 4:
+            stop.set()
+        return Query()
+
+    monkeypatch.setattr(updater, "start", start)
+    updater.watch(stop, 0.01, spark, "b", "s", "c", backup_to=None)
+    assert len(made) == 4
+
+
+def test_fix_in_place_never_loses_the_transport(spark, tmp_path, monkeypatch):
+    src = tmp_path / "t.jsonl"
+    src.write_text(line("1.0.0.0/8", 8, 1, ("2023-06-20", "2023-06-23"), ("2023-06-25", "2023-06-26")))
+    cli.fix(spark, str(src))
+    assert src.exists() and not list(tmp_path.glob("*.old")) and not list(tmp_path.glob("*.fixed"))
+    src.rename(tmp_path / "t.jsonl.old")  # cut short between two renames
+    cli.fix(spark, str(src))
+    assert [len(r["ranges"]) for r in jsonl.read_jsonl(spark, str(src)).collect()] == [1]
+
+
+def test_only_listed_files_are_opened(spark, tmp_path):
+    base, path = tmp_path / "rpki", str(tmp_path / "s")
+    dump(base, "apnic", "2021-03-05", ("1.0.0.0/8", "AS1", 8))
+    cli.rebuild(spark, path, str(base))
+    old = base / "apnic.tal/2021/03/05/roas.csv.xz"
+    old.write_bytes(b"no longer readable")
+    dump(base, "apnic", "2021-03-06", ("1.0.0.0/8", "AS1", 8))
+    cli.update(spark, path, str(base))
+    assert [str(r["ranges"][0]["end"]) for r in store.open_store(spark, path).collect()] == ["2021-03-06"]
+    cli.update(spark, path, str(base))
+    assert store.store_meta(spark, path)["latest_date"] == dt.date(2021, 3, 6)
+
+
+def test_settings_of_an_env_file_reach_serve(spark, tmp_path, monkeypatch):
+    env, path = tmp_path / "env", str(tmp_path / "s")
+    env.write_text("ORIGINLAKE_BACKUP_TO=there\n# no\nORIGINLAKE_HEARTBEAT=http://127.0.0.1:9/x\n")
+    for k in ("ORIGINLAKE_BACKUP_TO", "ORIGINLAKE_HEARTBEAT"):
+        monkeypatch.setenv(k, "")
+        monkeypatch.delenv(k)
+    store.publish(stored(spark, F1), path)
+    seen, done = [], threading.Event()
+    monkeypatch.setattr(updater, "watch", lambda *a, **k: (seen.append(k), done.set()))
+    monkeypatch.setattr(http_api, "serve", lambda *a: seen.append(a))
+    assert cli.main(["--env", str(env), path, "serve", "--base", "b", "--root", "/api"], spark) == 0 and done.wait(5)
+    options = next(x for x in seen if isinstance(x, dict))
+    assert options["backup_to"] == "there" and callable(options["heartbeat"])
+    assert next(x for x in seen if isinstance(x, tuple))[-1] == "/api"
+
+
+def test_size_insert_and_replace(spark):
+    h = H.build_history(obs(spark, F1))
+    more = H.build_history(obs(spark, [("1.0.0.0/8", 64512, 8, dt.date(2024, 1, 2)), ("9.0.0.0/8", 9, 8)]))
+    assert H.prefix_count(h) == 3 and not H.is_empty(h) and H.is_empty(h.where("false"))
+    got = {r["prefix"]: [(str(x["start"]), str(x["end"])) for x in r["ranges"]] for r in H.insert_records(h, more).collect()}
+    assert got["1.0.0.0/8"] == [("2024-01-01", "2024-01-02")] and len(got) == 4
+    got = {r["prefix"]: [(str(x["start"]), str(x["end"])) for x in r["ranges"]] for r in H.replace_records(h, more).collect()}
+    assert got["1.0.0.0/8"] == [("2024-01-02", "2024-01-02")] and len(got) == 4
