@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,21 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for tables in getattr(_OPEN, "stack", ()):
+        tables.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``make``; other tables that this thread wrote for it are removed."""
+    if not hasattr(_OPEN, "stack"):
+        _OPEN.stack = []
+    _OPEN.stack.append([])
+    try:
+        out = cut(make())
+    finally:
+        tables = _OPEN.stack.pop()
+    drop(*(t for t in tables if t is not out))
     return out
 
 

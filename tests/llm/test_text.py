@@ -63,3 +63,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         text.shared_dir(Session())
+
+
+def test_settled_results_leave_nothing_else(spark):
+    made = []
+
+    def make():
+        made.append(text.cut(spark.range(5)))
+        made.append(text.settled(lambda: text.cut(made[0].where("id > 1"))))
+        return made[1].where("id > 2")
+
+    out = text.settled(make)
+    assert out.count() == 2
+    for t in made:
+        with pytest.raises(Exception, match="(?i)not.*(found|exist)"):
+            spark.read.parquet(t._cut_path)
