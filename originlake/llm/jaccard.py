@@ -493,15 +493,15 @@ def _large_links(plain: DataFrame, member: DataFrame, shared: DataFrame, stars:
     return out
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(heads: DataFrame) -> DataFrame:
     """Edges (a, b) that join the blocks of a tile wherever sizes are within the ratio.
 
+    ``heads`` has the smallest document, a, of each tok, block and size n.
+
     Rows of one size join through their smallest document, sizes to the next one below, unless it is too small; what
     lies between two sizes within the ratio is within it, too.
     """
-    n = F.shiftright("at", 32)
-    heads = cut(rows.groupBy("tok", "block", n.alias("n")).agg(F.min("doc").alias("a")))
-    over = cut(heads.groupBy("tok", "n").agg(F.min("a").alias("b")))
+    over = heads.groupBy("tok", "n").agg(F.min("a").alias("b"))
     line = Window.partitionBy("tok").orderBy("n")
     below = over.select("b", "n", F.lag("b").over(line).alias("a"), F.lag("n").over(line).alias("m"))
     chain = below.where(F.col("m") * DEN >= F.col("n") * NUM).select("a", "b")
@@ -546,7 +546,8 @@ def near_duplicates(
     blocks = F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     stars = _as_reps(_as_reps(shared.where("doc <> center").groupBy("doc", "center").agg(F.count(F.lit(1)).alias("k")), rep_of, "doc"), rep_of, "center")
     stars = cut(stars.where("doc <> center"))
-    across = _as_reps(_as_reps(_across(shared.where(blocks > 1)), rep_of, "a"), rep_of, "b")
+    heads = cut(shared.where(blocks > 1).groupBy("tok", "block", F.shiftright("at", 32).alias("n")).agg(F.min("doc").alias("a")))
+    across = _as_reps(_as_reps(_across(heads), rep_of, "a"), rep_of, "b")
     of = components(stars.select(F.col("doc").alias("a"), F.col("center").alias("b")).unionByName(across))
     size = member.where("doc = rep").select(F.col("doc").alias("node"), "n").dropDuplicates(["node"])
     sizes = cut(of.join(size, "node").groupBy("label").agg(F.sum("n").alias("n")).withColumn("large", F.col("n") > large).drop("n"))
@@ -562,7 +563,7 @@ def near_duplicates(
     if group.where("large").limit(1).count():
         links.append(_large_links(plain, member, shared, stars, rep_of, group.where("large").select("node")))
     labels = components(functools.reduce(DataFrame.unionByName, links))
-    drop(first, same, twice, shared, rep_of, stars, of, sizes, group, small, *links)
+    drop(first, same, twice, shared, rep_of, stars, heads, of, sizes, group, small, *links)
     out = member.select("doc", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     real = lambda c: F.when(c != F.lit(NO_ID), c)
     return out.select(
