@@ -139,3 +139,19 @@ def test_components_of_paths_and_stars(spark):
     got = dict(map(tuple, graph.components(df).collect()))
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {i: 499 for i in (499, 500, 650, 700)}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    r = random.Random(2)
+    # hubs whose own id is the largest, repeated and reversed edges, loops, ids below zero, long paths out of order
+    edges = [(r.randrange(-90, 90), r.randrange(-90, 90)) for _ in range(70)] + [(10_000, i) for i in range(200, 260)]
+    path = r.sample(range(1000, 1200), 200)
+    edges += [*zip(path, path[1:], strict=False), (5000, 5000), *[(300, 301)] * 3]
+    least = {i: i for e in edges if e[0] != e[1] for i in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert len(got) == len(least)
+    assert dict(map(tuple, got)) == least
