@@ -19,6 +19,9 @@ log = logging.getLogger(__name__)
 #: Total order of results: IPv4 first, then address, length, origin and maximum length.
 ORDER = ["fam", "lo", "plen", "origin", "max_len"]
 
+#: Days whose validity is one BIGINT: a root and origin have as many such rows at most as maximum lengths.
+SPAN_DAYS = 32
+
 
 def parse_prefix(text: str):
     """(prefix, fam, plen, lo, hi) of query text; ValueError('invalid prefix') otherwise."""
@@ -115,30 +118,42 @@ def validate_bulk(queries: DataFrame, history: DataFrame, mode: str = "subtree")
     Valid: some record in the covering subtree has that origin, a maximum length
     of at least the query's length and a range on the date. Otherwise invalid if
     anything is stored there, at whatever date, else unknown. The subtree is never
-    expanded: records meet queries on (root, origin). ``mode`` 'rfc6811' counts
-    covering records that are active on the date only.
+    expanded, nor do queries meet records: records become, for each (root, origin,
+    maximum length), the days of SPAN_DAYS on which one of them is active, and each
+    asked day gets the greatest such length. ``mode`` 'rfc6811' counts covering
+    records that are active on the date only.
     """
     if mode == "rfc6811":
         return _validate_rfc6811(queries, history)
-    roots = cover_root(queries.select("qid", "fam", "plen", "lo"), history).select("qid", "root")
-    asked = queries.join(roots, "qid", "left")
-    stored = history.select("root", F.col("origin").alias("asn"), F.col("max_len").alias("_ml"), "ranges")
-    hits = (
-        asked.where(F.col("root").isNotNull())
-        .select("qid", "root", "asn", F.col("plen").alias("_ql"), "date")
-        .join(stored, ["root", "asn"])
-        .where((F.col("_ml") >= F.col("_ql")) & active_on(F.col("date")))
-        .select("qid")
-        .distinct()
-        .withColumn("_valid", F.lit(True))
+    places = cover_root(queries.select("fam", "plen", "lo").distinct(), history)
+    asked = queries.join(places, ["fam", "plen", "lo"], "left")
+    days = asked.where(F.col("root").isNotNull() & F.col("date").isNotNull()).select("root", "asn", "date").distinct()
+    keys = days.groupBy("root", "asn").agg(F.min("date").alias("_from"), F.max("date").alias("_to"))
+    span = lambda c: F.floor(F.unix_date(c) / SPAN_DAYS)
+    day = lambda c, k: F.when(span(c) == F.col("_span"), F.pmod(F.unix_date(c), F.lit(SPAN_DAYS))).otherwise(k)
+    stored = (
+        history.select("root", F.col("origin").alias("asn"), F.col("max_len").alias("_ml"), "ranges")
+        .join(keys, ["root", "asn"])
+        .select("root", "asn", "_ml", "_from", "_to", F.explode("ranges").alias("_r"))
+        .where((F.col("_r.start") <= F.col("_to")) & (F.col("_r.end") >= F.col("_from")) & (F.col("_r.start") <= F.col("_r.end")))
+        .withColumn("_s", F.greatest("_r.start", "_from"))
+        .withColumn("_e", F.least("_r.end", "_to"))
+        .withColumn("_span", F.explode(F.sequence(span(F.col("_s")), span(F.col("_e")))))
+        .withColumn("_a", day(F.col("_s"), 0))
+        .withColumn("_b", day(F.col("_e"), SPAN_DAYS - 1))
+        .groupBy("root", "asn", "_span", "_ml")
+        .agg(F.bit_or(F.expr("shiftleft(1L, _b + 1) - shiftleft(1L, _a)")).alias("_days"))
     )
-    return (
-        asked.join(hits, "qid", "left")
-        .withColumn(
-            "result",
-            F.when(F.col("_valid"), "valid").when(F.col("root").isNotNull(), "invalid").otherwise("unknown"),
-        )
-        .drop("root", "_valid")
+    best = (
+        days.withColumn("_span", span(F.col("date")))
+        .join(stored, ["root", "asn", "_span"])
+        .where(F.expr(f"shiftright(_days, pmod(unix_date(date), {SPAN_DAYS})) & 1 = 1"))
+        .groupBy("root", "asn", "date")
+        .agg(F.max("_ml").alias("_best"))
+    )
+    return asked.join(best, ["root", "asn", "date"], "left").select(
+        *queries.columns,
+        F.when(F.col("_best") >= F.col("plen"), "valid").when(F.col("root").isNotNull(), "invalid").otherwise("unknown").alias("result"),
     )
 
 

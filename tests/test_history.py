@@ -392,3 +392,35 @@ def test_size_insert_and_replace(spark):
     assert got["1.0.0.0/8"] == [("2024-01-01", "2024-01-02")] and len(got) == 4
     got = {r["prefix"]: [(str(x["start"]), str(x["end"])) for x in r["ranges"]] for r in H.replace_records(h, more).collect()}
     assert got["1.0.0.0/8"] == [("2024-01-02", "2024-01-02")] and len(got) == 4
+
+
+def test_validation_against_every_record(spark):
+    r = random.Random(3)
+    day = lambda k: dt.date(1969, 11, 20) + dt.timedelta(k)
+    rows = [(f"{r.choice([10, 10, 11])}.{r.randrange(3)}.{r.randrange(3)}.0/{n}", r.randrange(3), n + r.randrange(3), day(r.randrange(110))) for n in r.choices([8, 16, 23, 24], k=150)]
+    h = stored(spark, rows).cache()
+    asked = [(k // 2, f"{r.choice([10, 11, 12])}.{r.randrange(3)}.{r.randrange(3)}.0/{r.choice([7, 8, 16, 24, 25])}", r.choice([0, 1, 2, 3, None]), r.choice([day(r.randrange(110)), None])) for k in range(400)]
+    q = with_prefix_key(spark.createDataFrame(asked, "qid int, prefix string, asn bigint, date date"))
+    records = [(x["prefix"], x["root"], x["origin"], x["max_len"], [(y["start"], y["end"]) for y in x["ranges"]]) for x in h.collect()]
+    net, want = lambda t: ipaddress.ip_network(t, strict=False), []
+    for i, p, a, d in asked:
+        roots = {x[1] for x in records if net(p).subnet_of(net(x[0]))}
+        ok = d and any(x[1] in roots and x[2] == a and x[3] >= net(p).prefixlen and any(s <= d <= e for s, e in x[4]) for x in records)
+        want.append((i, str(net(p)), a, d, "valid" if ok else "invalid" if roots else "unknown"))
+    got = Q.validate_bulk(q, h)
+    assert got.columns == [*q.columns, "result"]
+    assert sorted(((x["qid"], x["prefix"], x["asn"], x["date"], x["result"]) for x in got.collect()), key=repr) == sorted(want, key=repr)
+    assert {w[-1] for w in want} == {"valid", "invalid", "unknown"}
+    assert not [n for n in joins(got) if "qid" in n and n & {"ranges", "_ml", "max_len"}]  # queries never meet records
+
+
+def joins(df):
+    """Names of the columns that come into each join of the optimized plan."""
+    out, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            out.append({c.output().apply(i).name() for c in below for i in range(c.output().size())})
+        todo += below
+    return out
