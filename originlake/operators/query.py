@@ -12,7 +12,7 @@ from originlake.functions.dates import strict_date
 from originlake.functions.prefix import parse_cidr
 from originlake.model import ASN_MAX, EPOCH, FORMAT_VERSION, MAX_LEN_MAX, PAGE_SIZE_CAP, PAGE_SIZE_DEFAULT
 from originlake.operators.history import active_on, counts, latest_date
-from originlake.operators.index import cover_root, related_match, subtree_match
+from originlake.operators.index import cover_root
 
 log = logging.getLogger(__name__)
 
@@ -31,12 +31,6 @@ def parse_prefix(text: str):
     return parsed
 
 
-def _one(spark, text: str) -> DataFrame:
-    _, fam, plen, lo, _ = parse_prefix(text)
-    row = [(0, fam, plen, bytearray(lo))]
-    return spark.createDataFrame(row, "qid int, fam tinyint, plen smallint, lo binary")
-
-
 def search(
     history: DataFrame,
     prefix: str | None = None,
@@ -63,8 +57,13 @@ def search(
         _, fam, plen, lo, _ = parse_prefix(prefix)
         rows = rows.where((F.col("fam") == fam) & (F.col("plen") == plen) & (F.col("lo") == F.lit(bytearray(lo))))
     elif prefix is not None:
-        match = related_match if mode == "related" else subtree_match
-        rows = match(_one(history.sparkSession, prefix), history).select(*history.columns)
+        _, fam, plen, lo, hi = parse_prefix(prefix)
+        first, last = F.lit(bytearray(lo)), F.lit(bytearray(hi))
+        covering = (F.col("fam") == fam) & (F.col("lo") <= first) & (F.col("hi") >= last)
+        if mode == "related":
+            rows = rows.where(covering | ((F.col("fam") == fam) & (F.col("lo") >= first) & (F.col("hi") <= last)))
+        else:  # all that cover it have the same root
+            rows = rows.where(F.col("root") == history.where(covering).agg(F.max("root")).scalar())
     if asn is not None:
         rows = rows.where(F.col("origin") == asn)
     if max_len is not None:
