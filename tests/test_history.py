@@ -12,6 +12,7 @@ import urllib.request
 from http.server import ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from originlake import cli, http_api, model
 from originlake.functions.dates import strict_date
@@ -438,3 +439,12 @@ def test_search_by_prefix_joins_nothing(spark):
             got = Q.search(h, asked, exact=False, mode=mode)
             assert {x["prefix"] for x in got.collect()} == want and got.columns == h.columns
             assert not joins(got)
+
+
+def test_pairs_of_large_keys_are_dealt_over_tasks(spark):
+    left = spark.createDataFrame([(k % 2, k // 3) for k in range(300)] + [(7, 1), (None, 2)], "k int, a int")
+    right = spark.createDataFrame([(0, f"x{j // 2}") for j in range(90)] + [(1, "y"), (8, "z"), (None, "n")], "k int, b string")
+    got = I.pairs(left, right, ["k"], pack=8)
+    want = sorted((x[0], x[1], y[1]) for x in left.collect() for y in right.collect() if x[0] is not None and x[0] == y[0])
+    assert sorted(tuple(x) for x in got.select("k", "a", "b").collect()) == want and len(want) == 150 * 90 + 150
+    assert max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < len(want) / 2
