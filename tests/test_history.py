@@ -448,3 +448,14 @@ def test_pairs_of_large_keys_are_dealt_over_tasks(spark):
     want = sorted((x[0], x[1], y[1]) for x in left.collect() for y in right.collect() if x[0] is not None and x[0] == y[0])
     assert sorted(tuple(x) for x in got.select("k", "a", "b").collect()) == want and len(want) == 150 * 90 + 150
     assert max(got.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < len(want) / 2
+
+
+def test_pairs_are_unpacked_in_small_lots(spark):
+    left = spark.range(6000).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    right = spark.range(1500).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    lots = I.packed_pairs(left, right, ["k"]).select((F.size("_left") * F.size("_right")).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    assert lots[0] == 6000 * 1500 and lots[1] < 50_000  # those that one join row unpacks to are all buffered
+    got = I.pairs(left, right, ["k"])
+    assert got.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.countDistinct((F.col("a") * 1500 + F.col("b")) % 100_003)).first()[:] == (
+        6000 * 1500, sum(range(6000)) * 1500, sum(range(1500)) * 6000, 100_003
+    )
